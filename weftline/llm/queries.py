@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.exact_dedup import exact_groups
+from weftline.llm.language_id import identify
 from weftline.llm.secret_scan import secret_report
 
 
@@ -14,12 +15,16 @@ def op7_secret_scan(spark, sf_dir):
     return secret_report(_read(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    return identify(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op7_secret_scan, op10_exact_dedup)}
+    return {f.__name__: f for f in (op7_secret_scan, op8_language_id, op10_exact_dedup)}
 
 
 def oracle_sql():

@@ -53,3 +53,10 @@ def lower_ascii(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
         F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     )
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small, unless the session already asks for smaller ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= 500:
+        spark.conf.set(key, "500")
