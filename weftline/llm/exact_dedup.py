@@ -4,10 +4,9 @@ Documents are split by successive digits of their bytes, most significant first,
 texts have ended. A digit is a run of bytes; runs get longer from level to level, so the number of levels grows with
 the logarithm of the longest repeated text. Texts are equal because all their digits are; no digest decides anything.
 
-Only members of groups of two or more go on to the next level, so most texts are never moved: level 0 shuffles the
-counts of 48-byte heads. A hot group costs no more than any other: counts are combined before the shuffle, and the
-join that relabels rows is either a broadcast of the (measured) table of groups or a shuffled join that adaptive
-execution can split.
+Only members of groups of two or more go on to the next level, with the bytes that they have left. Counts are combined
+before the shuffle, and the join that relabels rows meets a written table with one row a group, so that adaptive
+execution can split a hot group's rows over many tasks.
 """
 
 from __future__ import annotations
@@ -15,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import Scratch, hinted, lower_ascii
+from weftline.llm.scratch import Scratch, lower_ascii
 
-FIRST_DIGIT_BYTES = 48
+FIRST_DIGIT_BYTES = 256
 DIGIT_GROWTH = 16
 MOST_DIGIT_BYTES = 4 << 20
 
@@ -54,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keeps = scratch.put(
         equal.groupBy("level", "grp").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("size")), "keeps"
     )
-    equal = equal.join(hinted(keeps, 64), ["level", "grp"]).select(
+    equal = equal.join(keeps, ["level", "grp"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -87,7 +86,7 @@ def split_level(scratch: Scratch, state: DataFrame, width: int, level: int) -> D
         .withColumn("next_grp", F.monotonically_increasing_id()),
         f"groups{level}",
     )
-    joined = state.join(hinted(groups, F.octet_length("digit") + 64), ["grp", "digit", "ended"], "left")
+    joined = state.join(groups, ["grp", "digit", "ended"], "left")
     uid = F.col("uid") if level else F.monotonically_increasing_id()
     return scratch.put(
         joined.select(

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 #: Used only where the session names no checkpoint folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints/weftline"
 
-#: A table that is measured to be at most this large may be broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 8 << 20
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a default if that is unset."""
@@ -38,15 +35,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def hinted(table: DataFrame, row_bytes) -> DataFrame:
-    """``table`` with a broadcast hint if its measured size allows it, else a hint against it.
-
-    ``row_bytes`` is a Column or number with the bytes of a row. The table must be a written one: it is read once.
-    """
-    size = table.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("merge")
-
-
 def lower_ascii(text):
     """Lower-case A-Z only; null is empty. Texts without other letters take the faster built-in."""
     text = F.coalesce(text, F.lit(""))
