@@ -5,12 +5,18 @@ from __future__ import annotations
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.language_id import identify
 from weftline.llm.secret_scan import secret_report
+from weftline.llm.simhash_dedup import hex_digits, near_components
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_simhash_dedup(spark, sf_dir):
+    found = near_components(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_report(_read(spark, sf_dir, "documents"))
 
@@ -24,7 +30,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op7_secret_scan, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op7_secret_scan, op8_language_id, op10_exact_dedup)}
 
 
 def oracle_sql():
