@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from weftline.llm.decontaminate import edit_hits
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.language_id import identify
+from weftline.llm.mixing import mix_report, mix_sql
 from weftline.llm.secret_scan import secret_report
 from weftline.llm.simhash_dedup import hex_digits, near_components
 
@@ -17,6 +19,10 @@ def op2_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark, sf_dir):
+    return mix_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_report(_read(spark, sf_dir, "documents"))
 
@@ -25,13 +31,17 @@ def op8_language_id(spark, sf_dir):
     return identify(_read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return edit_hits(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
 def queries():
-    return {f.__name__: f for f in (op2_simhash_dedup, op7_secret_scan, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op5_mixing, op7_secret_scan, op8_language_id, op9_decontamination, op10_exact_dedup)}
 
 
 def oracle_sql():
-    return {}
+    return {"op5_mixing": mix_sql()}
