@@ -5,8 +5,10 @@ from __future__ import annotations
 from weftline.llm.decontaminate import edit_hits
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.language_id import identify
+from weftline.llm.line_dedup import line_report, line_sql
 from weftline.llm.mixing import mix_report, mix_sql
 from weftline.llm.secret_scan import secret_report
+from weftline.llm.sharding import shard_report
 from weftline.llm.simhash_dedup import hex_digits, near_components
 
 
@@ -19,6 +21,14 @@ def op2_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op3_sharding(spark, sf_dir):
+    return shard_report(_read(spark, sf_dir, "documents"), "doc_id")
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_report(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mix_report(_read(spark, sf_dir, "documents"))
 
@@ -40,8 +50,8 @@ def op10_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_simhash_dedup, op5_mixing, op7_secret_scan, op8_language_id, op9_decontamination, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_simhash_dedup, op3_sharding, op4_line_dedup, op5_mixing, op7_secret_scan, op8_language_id, op9_decontamination, op10_exact_dedup)}
 
 
 def oracle_sql():
-    return {"op5_mixing": mix_sql()}
+    return {"op4_line_dedup": line_sql(), "op5_mixing": mix_sql()}
