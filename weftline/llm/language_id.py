@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,29 +272,39 @@ def _expected_counts(batches: Iterable[pd.DataFrame], model: PieceModel) -> Iter
     yield pd.DataFrame({"lang": lang, "piece": piece, "n": total[piece, lang]})
 
 
-def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, the columns in ``keep``, ``lang_pred`` and ``score`` (0 to 1).
+def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``lang_pred`` and ``score`` (0 to 1).
 
     Only the text is used, all of it. Null texts and texts without letters get ``und`` and score 0; so does every text
     if the model knows no language. Ids may be null or repeated. The score is the language's posterior probability;
-    equal languages are broken by name. Columns of ``docs`` that are not named are ignored.
+    of equal languages the first by name is taken. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, *([] if text_col in keep else [text_col]))
-    kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(kept).schema) + ", lang_pred string, score double"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            for at in range(0, len(batch), _TEXTS_AT_ONCE):
-                part = batch.iloc[at : at + _TEXTS_AT_ONCE]
-                langs, scores = scorer(part[text_col])
-                yield part[kept].assign(lang_pred=langs, score=scores)
+            langs, scores = scorer(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInPandas(scored, schema)
+    return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: PieceModel, least_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, whose text has a language with at least that score."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accepted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            langs, scores = scorer(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([g != "und" and s >= least_score for g, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(accepted, docs.schema)
 
 
 class _Scorer:
@@ -302,7 +313,14 @@ class _Scorer:
     def __init__(self, model: PieceModel):
         self.model, self.at, self.table = model, {}, np.empty((0, len(model.langs)))
 
-    def __call__(self, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
+        for at in range(0, len(texts), _TEXTS_AT_ONCE):
+            for out, part in zip((langs, scores), self._some(texts.slice(at, _TEXTS_AT_ONCE).to_pylist()), strict=True):
+                out += part
+        return langs, scores
+
+    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         counts = [Counter(words_of(t)) for t in texts]
         if not self.model.langs:
             return ["und"] * len(counts), [0.0] * len(counts)
