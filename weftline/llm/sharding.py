@@ -86,7 +86,7 @@ class ShardStore:
         return old.select("shard_id", "path", "rows", "bytes").unionByName(new)
 
     def plan(self, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-        """The merges that are due: ``path, bytes, merged``. Shards with one ``merged`` go into one file.
+        """The merges that are due: ``path, bytes, merged``. Shards with one number ``merged`` (from 0) go into one file.
 
         Shards of half the target or more are left alone. A tier's shards are packed in the order of their ids, so a
         file gets up to the target and part of one shard more.
@@ -95,7 +95,8 @@ class ShardStore:
         small = self.manifest().where(F.col("bytes") < target_bytes / 2).withColumn("tier", tier)
         small = small.withColumn("runs", F.count("*").over(Window.partitionBy("tier"))).where(F.col("runs") >= fan_in)
         before = F.sum("bytes").over(Window.partitionBy("tier").orderBy("shard_id")) - F.col("bytes")
-        return small.select("path", "bytes", F.concat_ws("-", F.lit("m"), "tier", F.floor(before / target_bytes)).alias("merged"))
+        packed = small.withColumn("nth", F.floor(before / target_bytes))
+        return packed.select("path", "bytes", (F.dense_rank().over(Window.orderBy("tier", "nth")) - 1).alias("merged"))
 
     def compact(self, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> bool:
         """Merge once what is due and commit the next version; False if nothing is due."""
@@ -108,7 +109,7 @@ class ShardStore:
         rows = self.read(with_shard="path")
         merged = rows.join(plan.select(F.col("path").alias("_shard_path"), F.col("merged").alias("_merged")), "_shard_path")
         folder = f"shards/m-{uuid.uuid4().hex}"
-        out = merged.drop("_shard_path").repartition(due, "_merged").write.option("compression", "zstd").partitionBy("_merged")
+        out = merged.drop("_shard_path").repartitionById(due, "_merged").write.option("compression", "zstd").partitionBy("_merged")
         out.parquet(f"{self.root}/{folder}")
         kept = self.manifest().join(plan, "path", "left_anti")
         self.commit(self._with_new(kept, folder, schema), schema, base)
