@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import Scratch
+from weftline.llm.scratch import Scratch, spare_prefix
 
 SLOTS = 1 << 26
 
@@ -28,10 +28,12 @@ def bit_table(scratch: Scratch, rows: DataFrame, key: Column, name: str) -> Data
 
 def maybe_in(rows: DataFrame, key: Column, bits: DataFrame, wanted: bool = True) -> DataFrame:
     """The rows whose key may be in the bitmap, or those whose key is not."""
-    kept = rows.columns
-    rows = rows.withColumn("_slot", _slot(key))
-    place = F.bitmap_bit_position("_slot")
-    rows = rows.withColumns({"_to": F.bitmap_bucket_number("_slot"), "_at": place}).join(F.broadcast(bits), F.col("_to") == F.col("_bucket"), "left")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte.cast("long"), (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
-    return rows.where(found if wanted else ~found).select(*kept)
+    kept, p = rows.columns, spare_prefix(rows.columns)
+    slot, bit = f"{p}slot", F.col(f"{p}at")
+    rows = rows.withColumn(slot, _slot(key))
+    rows = rows.withColumns({f"{p}to": F.bitmap_bucket_number(slot), f"{p}at": F.bitmap_bit_position(slot)})
+    bits = bits.select(F.col("_bucket").alias(f"{p}bucket"), F.col("_bits").alias(f"{p}bits"))
+    rows = rows.join(F.broadcast(bits), F.col(f"{p}to") == F.col(f"{p}bucket"), "left")
+    byte = F.conv(F.hex(F.substring(f"{p}bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+    found = F.coalesce(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1, F.lit(False))
+    return rows.where(found if wanted else ~found).select(*[F.col(f"`{c}`") for c in kept])

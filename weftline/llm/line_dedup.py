@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bitfilter import bit_table, maybe_in
-from weftline.llm.scratch import Scratch
+from weftline.llm.scratch import Scratch, spare_prefix
 
 #: Shorter lines are compared for equality only: one edit makes another word of them.
 NEAR_CHARS = 24
@@ -54,8 +54,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = ~F.struct("doc", "version", "line_no").eqNullSafe(F.col("first"))
     drops = met.join(bad, "digest").where(again | F.col("near")).select("doc", "version", "line_no", (F.col("near") & ~again).alias("near"))
     drops = scratch.put(
-        drops.groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(
-            F.collect_set("line_no").alias("_drop"), F.count_if(F.expr("not near")).alias("_exact"), F.count_if("near").alias("_near")
+        drops.groupBy("doc", "version").agg(
+            F.collect_set("line_no").alias("drop"), F.count_if(F.expr("not near")).alias("exact"), F.count_if("near").alias("near")
         ),
         "drops",
     )
@@ -148,22 +148,26 @@ def _variants() -> Column:
 
 def without_lines(scratch: Scratch, docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the lines in ``drops``; only rows that may lose lines are shuffled."""
-    bits = bit_table(scratch, drops, F.xxhash64("_doc", "_version"), "drop_bits")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    rows = docs.select(*own).withColumns({"_own_doc": F.col(id_col), "_own_version": F.xxhash64(text_col)})
-    key = F.xxhash64("_own_doc", "_own_version")
-    some = maybe_in(rows, key, bits).join(drops, F.expr("_own_doc <=> _doc and _own_version = _version"), "left")
+    bits = bit_table(scratch, drops, F.xxhash64("doc", "version"), "drop_bits")
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_exact", "n_near")]
+    p = spare_prefix(own)
+    drops = drops.toDF(*[p + c for c in drops.columns])
+    rows = docs.select(*own).withColumns({f"{p}id": F.col(id_col), f"{p}text": F.xxhash64(text_col)})
+    key = F.xxhash64(f"{p}id", f"{p}text")
+    some = maybe_in(rows, key, bits).join(drops, F.col(f"{p}id").eqNullSafe(F.col(f"{p}doc")) & (F.col(f"{p}text") == F.col(f"{p}version")), "left")
     none = maybe_in(rows, key, bits, False).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in drops.schema])
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_drop", i), F.lit(False))), "\n")
+    lines, gone = F.split(text_col, "\n", -1), F.col(f"{p}drop")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    clean = F.when(gone.isNull(), F.col(text_col)).otherwise(kept)
     counts = {
-        "n_lines": F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
-        "n_exact": F.coalesce("_exact", F.lit(0)).cast("long"),
-        "n_near": F.coalesce("_near", F.lit(0)).cast("long"),
+        "n_lines": F.when(F.col(text_col).isNotNull(), F.size(F.filter(lines, lambda x: F.trim(x) != ""))),
+        "n_exact": F.col(f"{p}exact"),
+        "n_near": F.col(f"{p}near"),
     }
-    clean = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept)
-    counts["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(counts["n_lines"])
-    return some.unionByName(none).select(*[clean.alias(c) if c == text_col else F.col(c) for c in own], *[v.alias(k) for k, v in counts.items()])
+    return some.unionByName(none).select(
+        *[clean.alias(c) if c == text_col else F.col(c) for c in own],
+        *[F.coalesce(v, F.lit(0)).cast("long").alias(k) for k, v in counts.items()],
+    )
 
 
 def line_report(docs: DataFrame) -> DataFrame:

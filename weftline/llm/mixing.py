@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.scratch import Scratch
+from weftline.llm.scratch import Scratch, spare_prefix
 
 #: Production weights (whole numbers); a child that is not named has weight 1.
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {}}
@@ -44,23 +44,28 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sour
     replaced; other columns may have any name.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = {"_domain": domain_of(F.col(source_col)), "_lang": F.coalesce(lang_col, F.lit("")), "_source": F.coalesce(source_col, F.lit(""))}
-    own["_domain"] = F.coalesce(own["_domain"], F.lit("web"))
-    own["_id"] = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = {
+        "domain": domain_of(F.col(source_col)),
+        "lang": F.coalesce(lang_col, F.lit("")),
+        "source": F.coalesce(source_col, F.lit("")),
+        "id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+    }
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    slim = scratch.put(docs.select(*[v.alias(k[1:]) for k, v in own.items()], tokens.alias("tokens")), "slim")
+    slim = scratch.put(docs.select(*[v.alias(k) for k, v in own.items()], tokens.alias("tokens")), "slim")
     leaves = scratch.put(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "leaves")
     plan = scratch.put(share_budget(leaves, weights, budget_percent, max_epochs), "plan")
     cuts = scratch.put(plan.join(prefix_ends(slim, plan, seed), [*LEVELS], "left"), "cuts")
-    names = [f"_cut_{c}" for c in cuts.columns]
-    cuts = cuts.toDF(*names)
-    rows = docs.drop("copies").withColumns({f"_own{k}": v for k, v in own.items()})
-    rows = rows.join(cuts, [F.col(f"_own_{c}") == F.col(f"_cut_{c}") for c in LEVELS])
-    key = _key(seed, F.col("_cut_passes"), F.col("_own_id"))
-    bucket = _bucket(key, F.col("_cut_docs"))
-    taken = (bucket < F.col("_cut_end_bucket")) | ((bucket == F.col("_cut_end_bucket")) & (key <= F.col("_cut_end_key")))
-    copies = F.col("_cut_passes") + F.coalesce(taken, F.lit(False)).cast("long")
-    return rows.select(*[c for c in docs.columns if c != "copies"], copies.alias("copies")).where("copies > 0")
+    kept = [c for c in docs.columns if c.lower() != "copies"]
+    p = spare_prefix(kept)
+    cuts = cuts.toDF(*[f"{p}cut_{c}" for c in cuts.columns])
+    rows = docs.select(*kept).withColumns({p + k: v for k, v in own.items()})
+    rows = rows.join(cuts, [F.col(p + c) == F.col(f"{p}cut_{c}") for c in LEVELS])
+    passes, end = F.col(f"{p}cut_passes"), F.col(f"{p}cut_end_bucket")
+    key = _key(seed, passes, F.col(f"{p}id"))
+    bucket = _bucket(key, F.col(f"{p}cut_docs"))
+    taken = (bucket < end) | ((bucket == end) & (key <= F.col(f"{p}cut_end_key")))
+    copies = passes + F.coalesce(taken, F.lit(False)).cast("long")
+    return rows.select(*kept, copies.alias("copies")).where("copies > 0")
 
 
 def _key(seed: int, epoch: Column, doc: Column) -> Column:

@@ -35,6 +35,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare_prefix(columns: list[str], prefix: str = "_w_") -> str:
+    """A prefix that none of the columns has, for columns that an operator adds for a while."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def lower_ascii(text):
     """Lower-case A-Z only; null is empty. Texts without other letters take the faster built-in."""
     text = F.coalesce(text, F.lit(""))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.scratch import shared_dir
+from weftline.llm.scratch import shared_dir, spare_prefix
 
 #: Bytes of a file that compaction aims at, runs of one tier that start a merge, and the size ratio of tiers.
 TARGET_BYTES = 64 << 20
@@ -106,11 +106,11 @@ class ShardStore:
         if not due:
             return False
         schema = self.schema()
-        rows = self.read(with_shard="path")
-        merged = rows.join(plan.select(F.col("path").alias("_shard_path"), F.col("merged").alias("_merged")), "_shard_path")
+        prefix = spare_prefix(schema.names)
+        path, to = f"{prefix}path", f"{prefix}merged"
+        rows = self.read(path=path).join(plan.select(F.col("path").alias(path), F.col("merged").alias(to)), path).drop(path)
         folder = f"shards/m-{uuid.uuid4().hex}"
-        out = merged.drop("_shard_path").repartitionById(due, "_merged").write.option("compression", "zstd").partitionBy("_merged")
-        out.parquet(f"{self.root}/{folder}")
+        rows.repartitionById(due, to).write.option("compression", "zstd").partitionBy(to).parquet(f"{self.root}/{folder}")
         kept = self.manifest().join(plan, "path", "left_anti")
         self.commit(self._with_new(kept, folder, schema), schema, base)
         return True
@@ -118,19 +118,19 @@ class ShardStore:
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self._entries(None).where("path is null").first()["schema"]))
 
-    def read(self, version: int | None = None, with_shard: str | None = None) -> DataFrame:
-        """The rows of a version; ``with_shard`` ("path" or "shard_id") adds ``_shard_path`` or ``_shard_id``."""
-        shards = self.manifest(version)
-        schema = self.schema()
+    def read(self, version: int | None = None, path: str | None = None, shard_id: str | None = None) -> DataFrame:
+        """The rows of a version; columns with their shard's path or id are added under the names given."""
+        shards, schema = self.manifest(version), self.schema()
         folders = [r[0] for r in shards.select(F.substring_index("path", "/", 2)).distinct().collect()]
-        empty = self.spark.createDataFrame([], schema)
-        if not folders:
-            extra = {"path": ("_shard_path", "string"), "shard_id": ("_shard_id", "long")}.get(with_shard)
-            return empty.withColumn(extra[0], F.lit(None).cast(extra[1])) if extra else empty
-        found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
-        rows = found.withColumn("_shard_path", F.regexp_extract(found.metadataColumn("_metadata")["file_path"], _RELATIVE, 1))
-        named = rows.join(shards.select(F.col("path").alias("_shard_path"), F.col("shard_id").alias("_shard_id")), "_shard_path")
-        return named.drop(*{"path": ["_shard_id"], "shard_id": ["_shard_path"]}.get(with_shard, ["_shard_id", "_shard_path"]))
+        prefix = spare_prefix([*schema.names, path or "", shard_id or ""])
+        named = shards.select(F.col("path").alias(f"{prefix}path"), F.col("shard_id").alias(f"{prefix}id"))
+        if folders:
+            found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
+            rows = found.withColumn(f"{prefix}path", F.regexp_extract(found.metadataColumn("_metadata")["file_path"], _RELATIVE, 1))
+        else:
+            rows = self.spark.createDataFrame([], schema).withColumn(f"{prefix}path", F.lit(""))
+        added = [F.col(prefix + held).alias(name) for held, name in (("path", path), ("id", shard_id)) if name]
+        return rows.join(named, f"{prefix}path").select(*schema.names, *added)
 
     def vacuum(self) -> None:
         """Delete the folders of shards that the latest version doesn't name."""
@@ -145,12 +145,9 @@ class ShardStore:
 def shard(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
     """Append ``docs`` to the store at ``root`` (a new one in the shared folder), compact until nothing is due, vacuum.
 
-    Every row is in exactly one shard, with its columns as they are: nulls, repeated rows and texts of any length are
-    kept. Columns may have any names but ``_merged``, ``_shard_path`` and ``_shard_id``, which raise an error. An
-    empty table gives a version without shards or with empty ones.
+    Every row is in exactly one shard, with its columns as they are: nulls, repeated rows, texts of any length and
+    columns of any name are kept. An empty table gives a version without shards or with empty ones.
     """
-    if clash := {"_merged", "_shard_path", "_shard_id"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are the store's own")
     spark = docs.sparkSession
     store = ShardStore(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append(docs)
@@ -161,8 +158,14 @@ def shard(docs: DataFrame, root: str | None = None, target_bytes: int = TARGET_B
 
 
 def shard_report(docs: DataFrame, *keep: str) -> DataFrame:
-    """Every row's ``keep`` columns with its shard, that shard's rows and bytes, and the manifest's version."""
+    """Every row's ``keep`` columns with its shard, that shard's rows and bytes, and the manifest's version.
+
+    Columns named like the four that are added are left out.
+    """
+    added = ("shard_id", "shard_rows", "shard_bytes", "version")
+    keep = [c for c in keep if c.lower() not in added]
     store = shard(docs)
-    shards = store.manifest().select(F.col("shard_id").alias("_shard_id"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    rows = store.read(with_shard="shard_id").select(*keep, "_shard_id").join(shards, "_shard_id")
-    return rows.select(*keep, F.col("_shard_id").alias("shard_id"), "shard_rows", "shard_bytes", F.lit(store.versions()[-1]).alias("version"))
+    p = spare_prefix(keep)
+    shards = store.manifest().select(F.col("shard_id").alias(f"{p}shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+    rows = store.read(shard_id=f"{p}shard").select(*keep, f"{p}shard").join(shards, f"{p}shard")
+    return rows.select(*keep, F.col(f"{p}shard").alias("shard_id"), "shard_rows", "shard_bytes", F.lit(store.versions()[-1]).alias("version"))
