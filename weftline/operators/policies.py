@@ -41,7 +41,10 @@ def may_modify(context: Context) -> None:
 
 
 def condition(catalog: Catalog, shaper: Shaper, context: Context, name: str, operation: str) -> Column | None:
-    """True for rows on which the operation is allowed: some allow policy holds and no deny policy; None: no limits."""
+    """True for rows on which the operation is allowed: some allow policy holds and no deny policy; None: no limits.
+
+    It may be null for rows that are not allowed, so that scans can use a plain comparison.
+    """
     policies: list[Policy] = catalog.collected(name, "policies")
     if context.superuser or not policies:
         return None
@@ -51,15 +54,16 @@ def condition(catalog: Catalog, shaper: Shaper, context: Context, name: str, ope
         when = p.when(context) if callable(p.when) else p.when
         if when is None or isinstance(when, bool):
             return F.lit(when is None or when)
-        return F.coalesce(shaper.condition(when, name, [name]), F.lit(False))
+        return shaper.condition(when, name, [name])
 
-    either = lambda effect: reduce(lambda a, b: a | b, [holds(p) for p in mine if p.effect == effect], F.lit(False))
-    return either("allow") & ~either("deny")
+    either = lambda effect: reduce(lambda a, b: a | b, [holds(p) for p in mine if p.effect == effect] or [F.lit(False)])
+    allowed = either("allow")
+    return allowed & ~F.coalesce(either("deny"), F.lit(False)) if any(p.effect == "deny" for p in mine) else allowed
 
 
 def check(catalog: Catalog, shaper: Shaper, context: Context, name: str, operation: str, rows: DataFrame) -> None:
     """Fails if a row of ``rows`` (a frame of the type) may not be changed in this way."""
     allowed = condition(catalog, shaper, context, name, operation)
-    if allowed is not None and not rows.where(~allowed).isEmpty():
+    if allowed is not None and not rows.where(~F.coalesce(allowed, F.lit(False))).isEmpty():
         messages = [p.message for p in catalog.collected(name, "policies") if p.message and (operation in p.operations or "all" in p.operations)]
         raise runtime(f"Access policy violation on {operation} of {name}" + (f": {messages[0]}" if messages else ""))

@@ -302,23 +302,34 @@ class Shaper:
             rows = rows.join(df.select(F.col("_k" if by_key else "_id").alias("_parent")), F.col(f"{n}s") == F.col("_parent"), "left_semi")
         props = [F.col(f"@{p}") for p in e.props]
         rows = rows.select(f"{n}s", F.col("_tk" if keyed else "_tid").alias("_t"), *props)
-        rows = rows if e.props else rows.distinct()
-        order = [F.col("_by").desc() if e.desc else F.col("_by").asc()] if e.order_by else []
         on = found.select(F.col("_k" if keyed else "_id").alias("_to"), *(["_by"] if e.order_by else []), F.col("_id").alias("_toid"), item.alias("_item"))
         rows = rows.join(on, F.col("_t") == F.col("_to"))
         if props:
             rows = rows.withColumn("_item", F.struct("_item.*", *props))
-        order += [F.col("_toid").asc(), *props]
-        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(f"{n}s").orderBy(*order)))
-        if self.paged(e):
-            rows = rows.where((F.col("_place") > e.offset) & F.lit(True if e.limit is None else F.col("_place") <= e.offset + e.limit))
-        listed = rows.groupBy(F.col(f"{n}s").alias(f"{n}j")).agg(F.sort_array(F.collect_list(F.struct("_place", "_item"))).alias(n))
-        listed = listed.select(f"{n}j", F.transform(n, lambda x: x["_item"]).alias(n))
+        listed = self.listed(rows, f"{n}s", e).toDF(f"{n}j", n)
         df = df.join(listed, F.col("_k" if by_key else "_id") == F.col(f"{n}j"), "left")
         if not held.multi:
             return df, F.try_element_at(F.col(n), F.lit(1))
         return df, F.coalesce(F.col(n), F.array().cast(listed.schema[n].dataType))
 
+    def listed(self, rows: DataFrame, source: str, e: To) -> DataFrame:
+        """For each source its items in order, in one array. A pair that is there twice counts once, unless it has properties.
+
+        One shuffle by source does it: equal pairs share a rank and fall together in the set that is gathered.
+        """
+        order = ["_by"] if e.order_by else []
+        if not (self.paged(e) or e.desc or e.props):
+            items = F.sort_array(F.collect_set(F.struct(*order, "_toid", "_item")))
+        else:
+            keys = [F.col("_by").desc() if e.desc else F.col("_by").asc() for _ in order] + [F.col("_toid").asc(), *[F.col("_item")[f"@{p}"] for p in e.props]]
+            place = (F.row_number() if e.props else F.dense_rank()).over(Window.partitionBy(source).orderBy(*keys))
+            rows = rows.withColumn("_place", place)
+            if self.paged(e):
+                rows = rows.where(F.col("_place") > e.offset)
+                rows = rows if e.limit is None else rows.where(F.col("_place") <= e.offset + e.limit)
+            items = F.sort_array(F.collect_set(F.struct("_place", "_item")))
+        return rows.groupBy(source).agg(items.alias("items")).select(source, F.transform("items", lambda x: x["_item"]))
+
     def back(self, df: DataFrame, arms: list[str], e: Back) -> tuple[DataFrame, Column]:
         n = self.fresh()
         found = []
