@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keeps = scratch.put(
         equal.groupBy("level", "grp").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("size")), "keeps"
     )
-    equal = equal.join(keeps, ["level", "grp"]).select(
+    equal = equal.join(keeps.hint("merge"), ["level", "grp"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -86,7 +86,7 @@ def split_level(scratch: Scratch, state: DataFrame, width: int, level: int) -> D
         .withColumn("next_grp", F.monotonically_increasing_id()),
         f"groups{level}",
     )
-    joined = state.join(groups, ["grp", "digit", "ended"], "left")
+    joined = state.join(groups.hint("merge"), ["grp", "digit", "ended"], "left")
     uid = F.col("uid") if level else F.monotonically_increasing_id()
     return scratch.put(
         joined.select(
