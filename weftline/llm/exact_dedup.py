@@ -88,7 +88,7 @@ def split_level(scratch: Scratch, state: DataFrame, width: int, level: int) -> D
     )
     joined = state.join(groups.hint("merge"), ["grp", "digit", "ended"], "left")
     uid = F.col("uid") if level else F.monotonically_increasing_id()
-    return scratch.put(
+    out = scratch.put(
         joined.select(
             uid.alias("uid"),
             "doc_id",
@@ -100,3 +100,5 @@ def split_level(scratch: Scratch, state: DataFrame, width: int, level: int) -> D
         ),
         f"level{level}",
     )
+    scratch.drop(f"groups{level}")
+    return out

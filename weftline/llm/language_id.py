@@ -250,6 +250,7 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", voca
             counts[r["piece"], r["lang"]] += r["n"]
         model = PieceModel(pieces, langs, counts / counts.sum(axis=0), prior)
         shared.unpersist()
+    scratch.drop("words")
     return model
 
 
@@ -332,7 +333,7 @@ class _Scorer:
             self.table = np.concatenate([self.table, self.model.log_words(new)])
         langs, scores = [], []
         for c in counts:
-            if not c:
+            if not any(ch.isalpha() for word in c for ch in word):  # a word may be a fraction or the like
                 langs.append("und")
                 scores.append(0.0)
                 continue

@@ -50,6 +50,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("digest", "first", F.coalesce("near", F.lit(False)).alias("near")),
         "bad",
     )
+    scratch.drop("distinct", "near")
     met = maybe_in(lines.select("doc", "version", "line_no", "digest"), F.xxhash64("digest"), bit_table(scratch, bad, F.xxhash64("digest"), "bad_bits"))
     again = ~F.struct("doc", "version", "line_no").eqNullSafe(F.col("first"))
     drops = met.join(bad, "digest").where(again | F.col("near")).select("doc", "version", "line_no", (F.col("near") & ~again).alias("near"))
@@ -59,6 +60,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "drops",
     )
+    scratch.drop("lines", "bad", "bad_bits")
     return without_lines(scratch, docs, drops, id_col, text_col)
 
 
@@ -86,10 +88,12 @@ def near_earlier(scratch: Scratch, docs: DataFrame, text_col: str, distinct: Dat
     shared = scratch.put(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared_halves")
     alike = keys.join(shared, "key", "left_semi").select("line_id").distinct()
     alike = scratch.put(distinct.select("line_id", "digest", "first").join(alike, "line_id", "left_semi"), "alike")
+    scratch.drop("shared_halves")
     digest = F.unhex(F.md5("line"))
     texts = docs.select(F.explode(F.array_distinct(F.split(text_col, "\n", -1))).alias("line")).select(F.trim("line").alias("line"))
     texts = maybe_in(texts.withColumn("digest", digest), F.xxhash64("digest"), bit_table(scratch, alike, F.xxhash64("digest"), "alike_bits"))
     texts = scratch.put(texts.join(alike, "digest").groupBy("line_id").agg(F.first("line").alias("line"), F.first("first").alias("first")), "texts")
+    scratch.drop("alike", "alike_bits")
     rows = texts.select(
         "line_id", F.lit(0).cast("long").alias("key"), F.explode(F.array(F.length("line"), F.length("line") - 1)).alias("base"), F.col("line").alias("piece")
     )
@@ -99,6 +103,7 @@ def near_earlier(scratch: Scratch, docs: DataFrame, text_col: str, distinct: Dat
         cut = scratch.put(cut_pieces(rows), f"cut{step}")
         shared = scratch.put(cut.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), f"shared{step}")
         rows = scratch.put(cut.join(shared, "key", "left_semi"), f"pieces{step}")
+        scratch.drop(f"cut{step}", f"shared{step}")
         ready.append(rows.where(F.col("base") <= PIECE_CHARS))
         rows = rows.where(F.col("base") > PIECE_CHARS)
         if rows.isEmpty():
@@ -114,7 +119,9 @@ def near_earlier(scratch: Scratch, docs: DataFrame, text_col: str, distinct: Dat
     checked = pairs.join(texts.select("line_id", "line"), "line_id").join(
         texts.select(F.col("line_id").alias("earlier"), F.col("line").alias("other")), "earlier"
     )
-    return scratch.put(checked.where(F.levenshtein("line", "other", 1).between(0, 1)).select("line_id").distinct(), "near")
+    near = scratch.put(checked.where(F.levenshtein("line", "other", 1).between(0, 1)).select("line_id").distinct(), "near")
+    scratch.drop("texts", "variants", *[f"pieces{k}" for k in range(1, step + 1)])
+    return near
 
 
 def cut_pieces(rows: DataFrame) -> DataFrame:
