@@ -128,6 +128,12 @@ def test_language_id_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_no_letters_is_undetermined(spark, model):
+    texts = [None, "", "12 ½ ² !", "½a", "é", "_", "漢"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == dict(enumerate([True, True, True, False, False, True, False]))
+
+
 def test_language_id_odd_rows(odd_docs, odd_rows, no_docs):
     got = language_id.identify(odd_docs, rounds=1).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in odd_rows)
