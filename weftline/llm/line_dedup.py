@@ -111,16 +111,16 @@ def near_earlier(scratch: Scratch, docs: DataFrame, text_col: str, distinct: Dat
     pieces = ready[0]
     for more in ready[1:]:
         pieces = pieces.unionByName(more)
-    variants = scratch.put(
-        pieces.select("line_id", F.explode(_variants()).alias("variant")).distinct().join(texts.select("line_id", "first"), "line_id"), "variants"
-    )
-    pairs = variants.alias("a").join(variants.alias("b"), F.expr("a.variant = b.variant and b.first < a.first"))
-    pairs = pairs.select(F.col("a.line_id").alias("line_id"), F.col("b.line_id").alias("earlier")).distinct()
+    variants = pieces.select("line_id", "key", F.explode(_variants()).alias("variant")).distinct()
+    variants = scratch.put(variants.join(texts.select("line_id", "first"), "line_id"), "variants")
+    met = variants.groupBy("key", "variant").agg(F.min(F.struct("first", "line_id")).alias("best"), F.count("*").alias("n"))
+    met = scratch.put(met.where("n > 1").select("key", "variant", F.col("best.line_id").alias("earlier")), "met")
+    pairs = variants.join(met, ["key", "variant"]).where("line_id != earlier").select("line_id", "earlier").distinct()
     checked = pairs.join(texts.select("line_id", "line"), "line_id").join(
         texts.select(F.col("line_id").alias("earlier"), F.col("line").alias("other")), "earlier"
     )
     near = scratch.put(checked.where(F.levenshtein("line", "other", 1).between(0, 1)).select("line_id").distinct(), "near")
-    scratch.drop("texts", "variants", *[f"pieces{k}" for k in range(1, step + 1)])
+    scratch.drop("texts", "variants", "met", *[f"pieces{k}" for k in range(1, step + 1)])
     return near
 
 
@@ -142,7 +142,11 @@ def cut_pieces(rows: DataFrame) -> DataFrame:
 
 
 def _variants() -> Column:
-    """Hashes of the piece with each character deleted and, if it may be the shorter one of a pair, of itself."""
+    """Hashes of the piece with each character deleted and, if it may be the shorter one of a pair, of itself.
+
+    What is hashed is what stands before and after the gap: two lines with an equal variant are within one edit, so it
+    is enough that each line of a variant meets the earliest one.
+    """
     without = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length("piece"), F.lit(1))),
         lambda i: F.xxhash64("key", F.left("piece", i - 1), F.substring("piece", i + 1, F.length("piece"))),
