@@ -152,6 +152,29 @@ def test_update_delete_conflict(movies):
     assert g.select("Hero", where=field("name").one_of("a1", "a2", "b1", "b2")).count() == 4
 
 
+def test_changes_by_id(movies):
+    g, ids = movies
+    names = lambda p: sorted(r["name"] for r in rows(g.select("Villain", "name", where=p)))
+    assert names(field("nemesis_id").eq(ids["spider"])) == ["Venom"] and names(field("nemesis_id").ne(ids["spider"])) == []
+    assert rows(g.select("Villain", "nemesis_id", where=field("name").eq("Venom"))) == [{"nemesis_id": ids["spider"]}]
+    assert g.update("Villain", {"rank": 5}, field("id").one_of(ids["green"], ids["ock"])).changes == 2
+    assert g.delete("Villain", field("nemesis_id").eq(ids["spider"])).changes == 1 and names(None) == ["Doc Ock", "Green Goblin"]
+
+
+def test_registered_tables_can_be_changed(spark):
+    from weftline.sources.store import Binding
+
+    catalog = Catalog.of(ObjectType("A", (Property("x", "int"),)), ObjectType("B", (Link("a", "A"),)))
+    g = Graph(spark, catalog)
+    g.register("A", Binding(spark.range(4), "id", {"x": "id"}))
+    g.register("B", Binding(spark.range(4).selectExpr("id", "id % 2 as a"), "id", {}, {"a": "a"}))
+    assert g.update("A", {"x": 9}, field("id").eq("A:1")).changes == 1 and g.delete("A", field("id").eq("A:3")).changes == 1
+    assert sorted((r["id"], r["x"]) for r in rows(g.select("A", "id", "x"))) == [("A:0", 0), ("A:1", 9), ("A:2", 2)]
+    assert sorted((r["id"], r["a"]["x"]) for r in rows(g.select("B", "id", To("a", ("x",))))) == [("B:0", 0), ("B:1", 9), ("B:2", 0), ("B:3", 9)]
+    assert g.insert("B", {"a": "A:2"}).changes == 1 and g.delete("B", field("a_id").eq("A:2")).changes == 1
+    assert sorted(r["id"] for r in rows(g.select("B", where=field("a_id").one_of("A:1", "A:7")))) == ["B:1", "B:3"]
+
+
 def behaviours():
     return Catalog.of(
         ObjectType("Log", (Property("action", required=True), Property("name"), Property("change"))),

@@ -55,6 +55,7 @@ class Changer:
         self.graph, self.store, self.catalog, self.context = graph, graph.store.copy(), graph.catalog, graph.context
         policies.may_modify(self.context)
         self.shaper = graph.shaper(self.store, seen=False)
+        self.shaper.changing = True
         self.version = graph.version + 1
 
     def commit(self) -> None:

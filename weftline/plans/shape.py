@@ -29,6 +29,8 @@ class Shaper:
     def __init__(self, store: Store, module: str = "default", visible: Callable[[str], Column | None] = lambda name: None, run: Any = None):
         self.store, self.catalog, self.module, self.visible, self.run = store, store.catalog, module, visible, run
         self.made = 0
+        #: Rows are those of a table that is being changed: ids and link ids are columns of text.
+        self.changing = False
 
     def fresh(self) -> str:
         self.made += 1
@@ -107,11 +109,15 @@ class Shaper:
             return (flags or {})[p]
         assert isinstance(p, Compare)
         values = list(p.value) if p.op in ("in", "not in") else [p.value]
-        if p.name == "id":
+        if p.name == "id" and not self.changing:
             hits = [reduce(lambda a, b: a | b, [(F.col("_type") == arm) & self.store.is_id(arm, F.col("_k"), v) for arm in arms]) for v in values]
             found = reduce(lambda a, b: a | b, hits, F.lit(False))
             return ~found if p.op in ("!=", "not in") else found
+        if p.name == "id":
+            return compare(F.col("_id"), p.op, p.value)
         member = self.member(name, p.name)
+        if (link := p.name[:-3]) in self.catalog.links(name) and p.name.endswith("_id") and not self.changing:
+            return self.link_condition(p, arms, link, values)
         if p.op in ("like", "ilike") and member.type not in ("str",):
             raise semantic(f"operator '{p.op}' needs a str, and '{p.name}' is {member.type}")
         for v in values:
@@ -121,6 +127,15 @@ class Shaper:
             return F.coalesce(F.exists(column, lambda x: compare(x, p.op, p.value)), F.lit(False))
         return compare(column, p.op, p.value)
 
+    def link_condition(self, p: Compare, arms: list[str], link: str, values: list[Any]) -> Column:
+        """A condition on a link's id: on the key that the row holds where there is one."""
+        to = self.store.only_target(link, arms[0])
+        keyed = len(arms) == 1 and to is not None and self.store.binding(arms[0]).native
+        if not keyed or p.op not in ("=", "!=", "in", "not in"):
+            return compare(self.link_id(arms, link), p.op, p.value)
+        found = reduce(lambda a, b: a | b, [self.store.is_native_id(to, F.col(f"_l_{link}"), v) for v in values], F.lit(False))
+        return ~found & F.col(f"_l_{link}").isNotNull() if p.op in ("!=", "not in") else found
+
     def check_value(self, member: Property, value: Any) -> None:
         kind = self.catalog.spark_type(member.type)
         good = {"bigint": (int,), "double": (int, float), "boolean": (bool,), "string": (str,)}[kind]
@@ -141,6 +156,8 @@ class Shaper:
         if field == "id":
             return F.col("_id")
         self.member(name, field)
+        if field not in self.catalog.properties(name) and not self.changing:
+            return self.link_id(self.catalog.concrete(name), field[:-3])
         return F.col(field)
 
     def _linked(self, p: LinkedFrom, arms: list[str], as_text: bool) -> tuple[DataFrame, str]:
@@ -233,8 +250,8 @@ class Shaper:
 
     def link_id(self, arms: list[str], link: str) -> Column:
         to = self.store.only_target(link, arms[0])
-        keyed = to is not None and self.store.binding(arms[0]).native
-        return self.store.id_of(to, F.col(f"_l_{link}")) if keyed else F.col(f"_l_{link}")
+        native = to is not None and self.store.binding(arms[0]).native
+        return self.store.native_id(to, F.col(f"_l_{link}")) if native else F.col(f"_l_{link}")
 
     def value(self, df: DataFrame, name: str, arms: list[str], v: Any) -> tuple[DataFrame, Column]:
         if isinstance(v, Back):
@@ -285,7 +302,8 @@ class Shaper:
             found = found.withColumn("_by", self.property(target, e.order_by))
         found, outs = self.build(found, target, targets, e.shape, e.where is not None)
         whole = len(self.catalog.concrete(self.catalog.resolve(held.target))) == 1
-        inline = not held.multi and all(self.store.inline(a, e.link) for a in with_link)
+        alike = len({self.store.binding(a).native for a in with_link}) == 1
+        inline = not held.multi and alike and all(self.store.inline(a, e.link) for a in with_link)
         pairs = [self.store.pairs(a, e.link) for a in with_link]
         keyed = whole and all(p.keyed for p in pairs)
         item = F.struct(*[c.alias(k) for k, c in outs])
@@ -294,7 +312,8 @@ class Shaper:
             if e.offset >= 1 or e.limit == 0:
                 return df, F.lit(None).cast(kind)
             on = found.select(F.col("_k" if keyed else "_id").alias(f"{n}j"), item.alias(n))
-            return df.join(on, F.col(f"_l_{e.link}") == F.col(f"{n}j"), "left"), F.col(n)
+            own = F.col(f"_l_{e.link}") if keyed else self.link_id(with_link, e.link)
+            return df.join(on, own == F.col(f"{n}j"), "left"), F.col(n)
         by_key = len(arms) == 1
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.rows for p in pairs] if by_key else [p.rows.drop("_sk") for p in pairs])
         rows = rows.withColumnRenamed("_sk" if by_key else "_sid", f"{n}s")

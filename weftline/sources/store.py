@@ -81,20 +81,24 @@ class Store:
             self.bindings[name] = Binding(table, "id", {p: p for p in props}, links, native=False)
         return self.bindings[name]
 
-    def id_of(self, name: str, key: Column) -> Column:
-        """The id of an object of a concrete type from its key; null for a null key."""
-        if not self.binding(name).native:
-            return key
+    @staticmethod
+    def native_id(name: str, key: Column) -> Column:
+        """The id of an object of a registered table from its native key; null for a null key."""
         return F.concat(F.lit(f"{name.rpartition('::')[2]}:"), key.cast("string"))
 
-    def is_id(self, name: str, key: Column, id: Any) -> Column:
-        """Whether a key is that of the object with an id: a condition on the key itself, which scans can use."""
+    @staticmethod
+    def is_native_id(name: str, key: Column, id: Any) -> Column:
+        """Whether a native key is that of the object with an id: a condition on the key itself, which scans can use."""
         prefix = f"{name.rpartition('::')[2]}:"
-        if not self.binding(name).native:
-            return key == F.lit(id)
-        if not isinstance(id, str) or not id.startswith(prefix):
-            return F.lit(None).cast("boolean") if id is None else F.lit(False)
-        return key == F.lit(id[len(prefix) :])
+        if id is None:
+            return F.lit(None).cast("boolean")
+        return key == F.lit(id[len(prefix) :]) if isinstance(id, str) and id.startswith(prefix) else F.lit(False)
+
+    def id_of(self, name: str, key: Column) -> Column:
+        return self.native_id(name, key) if self.binding(name).native else key
+
+    def is_id(self, name: str, key: Column, id: Any) -> Column:
+        return self.is_native_id(name, key, id) if self.binding(name).native else key == F.lit(id)
 
     def frame(self, name: str) -> DataFrame:
         b = self.binding(name)
@@ -124,17 +128,17 @@ class Store:
         return not isinstance(self.binding(name).links.get(link), LinkTable)
 
     def pairs(self, name: str, link: str) -> Pairs:
-        """A link of one concrete type, however it is stored."""
+        """A link of one concrete type, however it is stored. A registered table holds native keys, a changed one ids."""
         b = self.binding(name)
         to = self.only_target(link, name)
-        keyed = to is not None and (b.native or not self.binding(to).native)
+        keyed = to is not None and b.native == self.binding(to).native
         held = b.links[link]
         if isinstance(held, LinkTable):
             source, target, table = F.col(held.source), F.col(held.target), held.table
             props = [F.col(c).alias(f"@{p}") for p, c in held.props.items()]
         else:
             source, target, table, props = F.col(b.key), F.col(held) if isinstance(held, str) else held, b.table, []
-        ids = self.id_of(to, target) if keyed else target
+        ids = self.native_id(to, target) if b.native and to else target
         rows = table.select(source.alias("_sk"), self.id_of(name, source).alias("_sid"), target.alias("_tk"), ids.alias("_tid"), *props)
         return Pairs(rows.where("_tk is not null"), keyed)
 
@@ -155,7 +159,7 @@ class Store:
             else:
                 to = self.only_target(link, name)
                 c = F.col(f"_l_{link}")
-                inline.append((self.id_of(to, c) if to else c).alias(f"{link}_id"))
+                inline.append((self.native_id(to, c) if to else c).alias(f"{link}_id"))
                 links[link] = f"{link}_id"
         table = frame.select(F.col("_id").alias("id"), *self.catalog.properties(name), *inline)
         return Binding(table, "id", {p: p for p in self.catalog.properties(name)}, links, native=False)

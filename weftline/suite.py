@@ -254,6 +254,23 @@ def computed_subquery(g):
     return found.select("name", _ids("regions", "name").alias("regions"))
 
 
+@suite("select quality::bigint as quality, lang, n_chars from labels join documents using (doc_id) where toxic = 0")
+def single_link_large_target(g):
+    found = g.select("Label", "quality", To("document", ("lang", "n_chars")), where=field("toxic").eq(0))
+    return found.select("quality", F.col("document.lang").alias("lang"), F.col("document.n_chars").alias("n_chars"))
+
+
+@suite("select 'Order:' || o_orderkey as id, 'Customer:' || o_custkey as customer_id from orders where o_custkey = 7")
+def filter_link_id(g):
+    return g.select("Order", "id", "customer_id", where=field("customer_id").eq("Customer:7"))
+
+
+@suite("select event_type, count(*) as n, sum(value) as total from events where event_type in ('click', 'purchase') group by event_type")
+def filter_then_aggregate(g):
+    found = g.select("Event", "event_type", "value", where=field("event_type").one_of("click", "purchase"))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 # free objects, expressions, bindings
 
 
@@ -428,6 +445,19 @@ def for_union_insert(g):
     return g.select("Region", "name")
 
 
+@suite("select r_name as name from region union all select n_name from nation where n_regionkey = 1")
+def bulk_insert_rows(g):
+    g.insert_rows("Region", g.spark.createDataFrame(g.select("Nation", "name", where=field("region_id").eq("Region:1")).collect(), "name string"))
+    return g.select("Region", "name")
+
+
+@suite("select 'Part:' || p_partkey as part from part where p_partkey < 3")
+def insert_with_links(g):
+    new = g.insert("Order", {"status": "O", "totalprice": 1.5, "customer": "Customer:1", "parts": ["Part:0", "Part:1", Select("Part", where=field("id").eq("Part:2"))]})
+    found = g.select("Order", To("parts"), where=field("id").eq(new.id))
+    return found.select(F.explode("parts.id").alias("part"))
+
+
 def _with(g: Graph, name: str, **more) -> Graph:
     known = g.catalog.type(name)
     g.catalog = g.catalog.with_types(ObjectType(known.name, known.members, known.bases, known.abstract, **more))
