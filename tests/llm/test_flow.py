@@ -57,6 +57,14 @@ def test_budgets_against_brute_force(spark):
         assert got == {k: v for k, v in budgets.items() if len(k) == 3}
 
 
+def test_a_weight_of_zero_takes_nothing(spark):
+    leaves = [("web", "en", "s0", 100, 1), ("books", "en", "s1", 100, 1), ("books", "de", "s1", 40, 1)]
+    table = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, docs long")
+    shares = lambda w, p: {r.domain + r.lang: r.passes * r.tokens + r.rest for r in mixing.share_budget(table, w, p, 1).collect()}
+    assert shares({"domain": {"web": 0}}, 50) == {"weben": 0, "booksen": 80, "booksde": 40}
+    assert shares({"lang": {"de": 0}}, 90) == {"weben": 100, "booksen": 100, "booksde": 0}
+
+
 def test_prefixes_do_not_depend_on_buckets(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "w " * (i % 7), "en", "src0") for i in range(300)], "doc_id long, text string, lang string, source string")
     taken = lambda: sorted((r.doc_id, r.copies) for r in mixing.mix(docs).collect())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch, spare_prefix
 
-#: Production weights (whole numbers); a child that is not named has weight 1.
+#: Production weights (whole numbers, 0 for nothing); a child that is not named has weight 1.
 WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {}}
 #: The budget, in hundredths of the corpus's tokens.
 BUDGET_PERCENT = 60
@@ -80,14 +80,14 @@ def _bucket(key: Column, docs: Column) -> Column:
 
 def share_budget(leaves: DataFrame, weights: Mapping, budget_percent: int, max_epochs: int) -> DataFrame:
     """The leaves with ``tokens`` of supply, whole ``passes`` and the tokens ``rest`` of the pass after them."""
-    plan = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    plan = leaves.withColumns({f"w_{level}": _weight(weights, level) for level in LEVELS})
+    open_path = F.least(*[F.col(f"w_{level}") for level in LEVELS]) > 0
+    plan = plan.withColumn("cap", F.when(open_path, F.col("tokens") * max_epochs).otherwise(0))
     plan = plan.withColumn("share", F.expr(f"(sum(tokens) over ()) * {budget_percent} div 100"))
     for depth, level in enumerate(LEVELS):
         parent, path = LEVELS[:depth], LEVELS[: depth + 1]
-        child = plan.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first("share").alias("budget"))
-        named = F.create_map(*[F.lit(x) for kv in (weights.get(level) or {"": 1}).items() for x in kv])
-        child = child.withColumn("w", F.coalesce(F.try_element_at(named, F.col(level)), F.lit(1)).cast("long"))
-        filling = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), level)
+        child = plan.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first("share").alias("budget"), F.first(f"w_{level}").alias("w"))
+        filling = Window.partitionBy(*parent).orderBy(F.try_divide("cap", "w"), level)
         whole = Window.partitionBy(*parent)
         child = child.withColumns(
             {
@@ -103,6 +103,11 @@ def share_budget(leaves: DataFrame, weights: Mapping, budget_percent: int, max_e
     return plan.withColumn("passes", passes).select(*LEVELS, "tokens", "docs", "passes", F.expr("share - passes * tokens").alias("rest"))
 
 
+def _weight(weights: Mapping, level: str) -> Column:
+    named = F.create_map(*[F.lit(x) for kv in (weights.get(level) or {"": 1}).items() for x in kv])
+    return F.coalesce(F.try_element_at(named, F.col(level)), F.lit(1)).cast("long")
+
+
 def prefix_ends(slim: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """For each leaf the bucket and the key of the last document of its prefix; no row where the rest is 0."""
     keyed = slim.join(plan.where("rest > 0").select(*LEVELS, "docs", "passes", "rest"), [*LEVELS])
