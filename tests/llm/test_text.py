@@ -181,6 +181,16 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs):
     assert decontaminate.edit_hits(no_docs, items).collect() == [] and decontaminate.edit_hits(odd_docs, items.limit(0)).collect() == []
 
 
+def test_each_block_has_its_own_matcher():
+    class Shared:
+        def __init__(self, *texts):
+            self.value = [(k, t) for k, t in enumerate(texts)]
+
+    for k in range(50):
+        word = "abcdefghij"[k % 10] * 30
+        assert [hit[0] for hit in decontaminate._matcher(Shared(word), 0.0).find(f"x {word} y")] == [0]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     texts = [f"{w} " * 12 for w in ("alpha", "bravo", "delta", "gamma")]

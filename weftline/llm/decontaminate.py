@@ -138,15 +138,18 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
             yield block
 
 
-_cached: dict[int, Matcher] = {}
+_held: list = []
 
 
 def _matcher(shared, error_rate: float) -> Matcher:
-    """The matcher of a broadcast block, built once in each Python worker."""
-    if shared.value and (key := id(shared.value)) not in _cached:
-        _cached.clear()
-        _cached[key] = Matcher([t for _, t in shared.value], error_rate)
-    return _cached[key]
+    """The matcher of a broadcast block, built once in each Python worker.
+
+    The block is held beside it: a later block can't take its place in memory and pass for it.
+    """
+    block = shared.value
+    if not _held or _held[0] is not block:
+        _held[:] = block, Matcher([t for _, t in block], error_rate)
+    return _held[1]
 
 
 def edit_hits(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id_col="item_id", item_text_col="text", error_rate=ERROR_RATE) -> DataFrame:
