@@ -71,6 +71,16 @@ def test_prefixes_do_not_depend_on_buckets(spark, monkeypatch):
     once = taken()
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 4)
     assert taken() == once and 0 < len(once) < 300
+    monkeypatch.setattr(mixing, "RUN_BITS", 2)
+    assert taken() == once
+
+
+def test_rows_of_one_id_are_taken_together(spark):
+    rows = [(None, "w w", "en", "src0")] * 40 + [(i, "w", "en", "src0") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [r for r in mixing.mix(docs, budget_percent=50).collect()]
+    assert sum(len(r.text.split()) * r.copies for r in got) <= 240
+    assert sum(r.doc_id is None for r in got) in (0, 40)
 
 
 def test_mix_odd_rows(odd_docs, no_docs):
