@@ -53,6 +53,12 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_simhash_in_parts(monkeypatch, odd_rows):
+    for size in (1, 3, 1000):
+        monkeypatch.setattr(simhash_dedup, "_SHINGLES_AT_ONCE", size)
+        assert all(simhash_dedup.simhash(r[1]) == brute_simhash(r[1]) for r in odd_rows if len(r[1] or "") < 10_000)
+
+
 def brute_components(prints):
     root = list(range(len(prints)))
 
