@@ -7,7 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm import bitfilter, components, exact_dedup, line_dedup, simhash_dedup
+import corpus_pipeline
+from weftline.llm import bitfilter, components, exact_dedup, line_dedup, near_copies, simhash_dedup
 from weftline.llm.scratch import Scratch
 
 
@@ -186,3 +187,52 @@ def test_bit_filter(spark):
     there = {r.id for r in bitfilter.maybe_in(rows, F.xxhash64("id"), bits).collect()}
     gone = {r.id for r in bitfilter.maybe_in(rows, F.xxhash64("id"), bits, False).collect()}
     assert there | gone == set(range(500)) and not there & gone and there >= set(range(0, 500, 5)) and len(there) < 110
+
+
+def brute_near(texts):
+    """Kept places: the first of each component of texts whose five-word shingles have a Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        words = normal(t).split()
+        k = min(5, len(words))
+        sets.append({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set())
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return set(root)
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for size in (8, 20, 60, 200):
+        for _ in range(6):
+            words = [f"w{x}" for x in rng.integers(0, 500, size)]
+            texts.append(" ".join(words))
+            for changes in (1, 1, 2, 3, 6, 10):
+                copy = list(words)
+                for at in rng.integers(0, size, changes):
+                    copy[at] = "changed"
+                texts.append(" ".join(copy + ["x"] * int(rng.integers(0, 3))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = brute_near(texts)
+    assert len(set(map(normal, texts))) - 20 > len(expected)
+    for common in (3, 10_000):
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == expected
+
+
+def test_near_copies_odd_rows(odd_docs, odd_rows, no_docs):
+    got = near_copies.one_of_each(odd_docs)
+    assert got.columns == odd_docs.columns and got.count() == len(brute_near([r[1] for r in odd_rows]))
+    assert near_copies.one_of_each(no_docs).collect() == []
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "something else")], "doc_id long, text string")
+    stay = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert sorted(r.doc_id for r in stay.collect()) == [1, 3]
