@@ -4,19 +4,21 @@ Base spans (assign, access, hex) stand by themselves. Weak candidates (an identi
 endpoint) mean little alone; an interval join within a document reports them only where the complementary parts of a
 credential lie within ``SCOPE`` code points.
 
-A match's position comes from ``locate`` after the end of the match before: the patterns have no anchors and look at
-nothing outside the match, so the first place where the matched string occurs is where the pattern matched.
+A match's position is the sum of the lengths of all gaps and matches before it. Gaps and matches come from one pass of
+the pattern each; the sums run over blocks of matches, so a text's cost grows with its length and its matches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch
 
 #: Code points between two parts of one credential, at most.
 SCOPE = 200
+#: Matches whose positions are summed up together.
+BLOCK = 512
 
 #: Fixed patterns, by kind in the order in which spans at one place are listed.
 PATTERNS = {
@@ -34,28 +36,41 @@ NEEDS = {"ident": ("secret",), "blob": ("identifier",), "endpoint": ("identifier
 ROLES = {"assign": "secret", "hex": "secret", "blob": "secret", "access": "identifier", "ident": "identifier"}
 
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+_FOUND = "array<struct<start:int,rank:int,stop:int,kind:string,piece:string>>"
 
 
-def spans_of(text: str, kind: str) -> Column:
-    """The spans of one kind in the column ``text``: start, rank of the kind, end (exclusive), kind; in code points."""
-    rank = list(PATTERNS).index(kind)
-    pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    found = F.expr(
-        f"""aggregate(regexp_extract_all({text}, '{pattern}', 0),
-            named_struct('at', 1, 'out', cast(array() as {_SPAN})),
-            (a, m) -> named_struct(
-                'at', locate(m, {text}, a.at) + length(m),
-                'out', array_append(a.out, named_struct(
-                    'start', locate(m, {text}, a.at) - 1, 'rank', {rank},
-                    'stop', locate(m, {text}, a.at) - 1 + length(m), 'kind', '{kind}'))),
-            a -> a.out)"""
-    )
-    piece = lambda s: F.substring(F.col(text), s["start"] + 1, s["stop"] - s["start"])
+def steps_of(text: str, kind: str, matches: str) -> Column:
+    """For each string that the kind's pattern matches, in order: the code points since the match before, and the string."""
+    gaps = F.slice(F.split(text, PATTERNS[kind], -1), 1, F.size(matches))
+    steps = F.zip_with(gaps, matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("piece")))
+    return F.when(F.size(matches) > 0, steps)
+
+
+def spans_of(kind: str, steps: str) -> Column:
+    """The spans of one kind: start, rank of the kind, end (exclusive), kind; in code points.
+
+    Every match moves the ones after it; those that fail the kind's own condition are dropped last. ``steps`` is a
+    column that the plan keeps apart, as it is named twice: it must not be made again for every block.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK)), lambda k: F.slice(steps, (k * BLOCK + 1).cast("int"), BLOCK))
+    sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda at, x: at + x["gap"] + F.length(x["piece"])))
+    running = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    befores = F.aggregate(sums, running, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out")), lambda a: a["out"])
+    rank, none = list(PATTERNS).index(kind), f"cast(array() as {_FOUND})"
+
+    def placed(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        stop = start + F.length(x["piece"])
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), x["piece"].alias("piece"))
+        return F.struct(stop.alias("at"), F.array_append(a["out"], span).alias("out"))
+
+    found = F.flatten(F.zip_with(blocks, befores, lambda block, before: F.aggregate(block, F.struct(before.alias("at"), F.expr(none).alias("out")), placed, lambda a: a["out"])))
     if kind == "assign":
-        return F.filter(found, lambda s: F.length(F.regexp_extract(piece(s), PATTERNS[kind], 2)) >= 12)
+        found = F.filter(found, lambda s: F.length(F.regexp_extract(s["piece"], PATTERNS[kind], 2)) >= 12)
     if kind == "blob":
-        return F.filter(found, lambda s: piece(s).rlike("[0-9]") & piece(s).rlike("[A-Za-z]"))
-    return found
+        found = F.filter(found, lambda s: s["piece"].rlike("[0-9]") & s["piece"].rlike("[A-Za-z]"))
+    spans = F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "stop", "kind")]))
+    return F.when(F.col(steps).isNotNull(), spans).otherwise(F.expr(f"cast(array() as {_SPAN})"))
 
 
 def listed(spans: Column) -> Column:
@@ -69,22 +84,17 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: ``doc_id, base, linked``, two arrays of (start, rank, stop, kind) in code points.
 
     Null and empty texts have no spans. Ids may be null or repeated: each row is scanned by itself. A blob that
-    overlaps a base span is no candidate. Two parts are in one scope when at most ``scope`` code points lie between
-    them. An empty table gives an empty result; other columns of ``docs`` are ignored, whatever their names.
+    overlaps a span of another kind is a part of that one and no candidate. Two parts are in one scope when they do not
+    overlap and at most ``scope`` code points lie between them. An empty table gives an empty result; other columns of
+    ``docs`` are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = found.select("doc_id", *[spans_of("text", k).alias(k) for k in PATTERNS])
-    base = F.concat(*BASE)
-    clear = lambda s: ~F.exists(F.concat(*BASE), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    found = found.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_found") for k, p in PATTERNS.items()])
+    found = found.select("doc_id", *[steps_of("text", k, f"{k}_found").alias(f"{k}_steps") for k in PATTERNS])
+    found = found.select("doc_id", *[spans_of(k, f"{k}_steps").alias(k) for k in PATTERNS])
     parts = scratch.put(
-        found.select(
-            F.monotonically_increasing_id().alias("uid"),
-            "doc_id",
-            base.alias("base"),
-            F.concat("ident", F.filter("blob", clear), "endpoint").alias("weak"),
-        ),
-        "parts",
+        found.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.concat(*BASE).alias("base"), F.concat(*NEEDS).alias("weak")), "parts"
     )
     linked = link_parts(parts, scope)
     return parts.join(linked, "uid", "left").select(
@@ -100,31 +110,38 @@ def link_parts(parts: DataFrame, scope: int) -> DataFrame:
     """
     rows = parts.where(F.size("weak") > 0)
     span = F.col("s")
+    spans = without_covered_blobs(rows.select("uid", F.explode(F.concat("base", "weak")).alias("s")))
     role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     bins = lambda reach: F.explode(
         F.sequence(F.floor((span["start"] - reach) / scope), F.floor((span["stop"] + reach) / scope))
     )
     others = (
-        rows.select("uid", F.explode(F.concat("base", "weak")).alias("s"))
-        .select("uid", "s", role[span["kind"]].alias("role"))
+        spans.select("uid", "s", role[span["kind"]].alias("role"))
         .where("role is not null")
         .select("uid", bins(0).alias("bin"), "role", span["start"].alias("o_start"), span["stop"].alias("o_stop"))
     )
     needs = F.create_map(*[x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     wanted = (
-        rows.select("uid", F.explode("weak").alias("s"))
+        spans.where(span["kind"].isin(*NEEDS))
         .select("uid", "s", F.explode(needs[span["kind"]]).alias("role"), F.size(needs[span["kind"]]).alias("roles"))
         .select("uid", "s", "role", "roles", bins(scope).alias("bin"))
     )
-    met = wanted.alias("w").join(
-        others.alias("o"),
-        F.expr(f"w.uid = o.uid and w.bin = o.bin and w.role = o.role and o_start <= w.s.stop + {scope} and o_stop >= w.s.start - {scope}"),
-        "left_semi",
-    )
+    before, after = f"o_stop between w.s.start - {scope} and w.s.start", f"o_start between w.s.stop and w.s.stop + {scope}"
+    met = wanted.alias("w").join(others.alias("o"), F.expr(f"w.uid = o.uid and w.bin = o.bin and w.role = o.role and ({before} or {after})"), "left_semi")
     whole = met.groupBy("uid", "s").agg(F.size(F.collect_set("role")).alias("met"), F.max("roles").alias("roles")).where("met = roles")
     return whole.groupBy("uid").agg(F.collect_list("s").alias("linked"))
 
 
+def without_covered_blobs(spans: DataFrame) -> DataFrame:
+    """The rows (uid, s) without the blobs that overlap a span of another kind of their text."""
+    cover = F.col("s.kind") != "blob"
+    reached = Window.partitionBy("uid").orderBy("s.start").rangeBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("uid").orderBy(F.desc("s.start")).rangeBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumns({"reached": F.max(F.when(cover, F.col("s.stop"))).over(reached), "ahead": F.min(F.when(cover, F.col("s.start"))).over(ahead)})
+    inside = F.coalesce(F.col("reached") > F.col("s.start"), F.lit(False)) | F.coalesce(F.col("ahead") < F.col("s.stop"), F.lit(False))
+    return spans.where(cover | ~inside).select("uid", "s")
+
+
 def secret_report(docs: DataFrame) -> DataFrame:
     """The digest of ``scan_secrets``: counts by base kind, the hash of the base spans, and all spans as text."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
