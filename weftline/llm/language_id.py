@@ -10,6 +10,7 @@ Probabilities come from expectation maximisation over words counted in a bounded
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -27,10 +28,11 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled rows per language from which probabilities are learned (the expected number of a hashed draw).
 ROWS_PER_LANG = 400
 ROUNDS = 2
-LONGEST_PIECE = 16
 #: Probability of a character that is no piece.
 UNKNOWN = 1e-6
 SMOOTHING = 0.01
+#: Alphas are brought back to 1 after so many characters, so that no run of improbable ones comes to 0.
+_RESCALED = 8
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
 #: Words up to this length, with the start mark, are scored together in numpy; longer ones one by one, rescaled.
@@ -54,12 +56,14 @@ class PieceModel:
     probs: np.ndarray
     log_prior: np.ndarray
     index: dict[str, int] = field(init=False, repr=False)
+    longest: int = field(init=False, repr=False)
 
     def __post_init__(self):
         self.index = {p: i for i, p in enumerate(self.pieces)}
+        self.longest = max(map(len, self.pieces), default=1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("index", "_table")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("index", "longest", "_table")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -70,7 +74,7 @@ class PieceModel:
         s = _START + word
         for i in range(len(s)):
             known = False
-            for j in range(i + 1, min(i + LONGEST_PIECE, len(s)) + 1):
+            for j in range(i + 1, min(i + self.longest, len(s)) + 1):
                 if (p := self.index.get(s[i:j])) is not None:
                     known |= j == i + 1
                     yield i, j, p
@@ -87,9 +91,9 @@ class PieceModel:
         for i, j, p in self.edges(word):
             if i > at:
                 at = i
-                top = alpha[i : i + LONGEST_PIECE].max(axis=0)
+                top = alpha[i : i + self.longest].max(axis=0)
                 if (top < 1e-100).any():
-                    alpha[i : i + LONGEST_PIECE] /= top
+                    alpha[i : i + self.longest] /= top
                     shift += np.log(top)
             alpha[j] += alpha[i] * (UNKNOWN if p < 0 else self.probs[p])
         return np.log(alpha[n]) + shift
@@ -111,34 +115,60 @@ class PieceModel:
         """The forward algorithm for words of at most ``width`` characters together."""
         alpha = np.zeros((width + 1, len(words), len(self.langs)))
         alpha[0] = 1.0
+        shift, at = np.zeros(alpha.shape[1:]), 0
         for i, j, rows, piece in self._lattice(words, lengths, width):
+            if i > at and not (at := i) % _RESCALED:
+                live = lengths > i
+                ahead = alpha[i : i + self.longest, live]
+                top = ahead.max(axis=0)
+                alpha[i : i + self.longest, live] = ahead / top
+                shift[live] += np.log(top)
             alpha[j, rows] += alpha[i, rows] * self._known(piece)
-        return np.log(alpha[lengths, np.arange(len(words))])
+        return np.log(alpha[lengths, np.arange(len(words))]) + shift
 
     def expected(self, words: list[str], n: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Expected uses (pieces x languages) of each piece in words that occur ``n`` times in their language.
 
-        Forward and backward sums; words longer than the padded lengths are left out of the learning.
+        Forward and backward sums of logarithms, for words of any length.
         """
         total = np.zeros(self.probs.shape)
         lengths, low = np.array([len(w) + 1 for w in words], dtype=np.int64), 0
+        with np.errstate(divide="ignore"):
+            log_probs = np.log(self.probs)
         for width in _PADDED:
             for at in _slices(np.flatnonzero((lengths > low) & (lengths <= width))):
                 size, g = lengths[at], lang[at]
-                steps = [(i, j, rows, piece, self._known(piece)[np.arange(rows.size), g[rows]]) for i, j, rows, piece in self._lattice([words[k] for k in at], size, width)]
-                alpha, beta = np.zeros((width + 1, at.size)), np.zeros((width + 1, at.size))
-                alpha[0], beta[size, np.arange(at.size)] = 1.0, 1.0
+                known = lambda rows, piece: np.where(piece >= 0, log_probs[piece, g[rows]], _LOG_UNKNOWN)
+                steps = [(i, j, rows, piece, known(rows, piece)) for i, j, rows, piece in self._lattice([words[k] for k in at], size, width)]
+                alpha, beta = np.full((width + 1, at.size), -np.inf), np.full((width + 1, at.size), -np.inf)
+                alpha[0], beta[size, np.arange(at.size)] = 0.0, 0.0
                 for i, j, rows, _, q in steps:
-                    alpha[j, rows] += alpha[i, rows] * q
+                    alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + q)
                 for i, j, rows, _, q in reversed(steps):
-                    beta[i, rows] += beta[j, rows] * q
-                weight = n[at] / alpha[size, np.arange(at.size)]
+                    beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + q)
+                whole = alpha[size, np.arange(at.size)]
                 for i, j, rows, piece, q in steps:
-                    known = piece >= 0
-                    np.add.at(total, (piece[known], g[rows[known]]), (weight[rows] * alpha[i, rows] * q * beta[j, rows])[known])
+                    used = n[at][rows] * np.exp(alpha[i, rows] + q + beta[j, rows] - whole[rows])
+                    np.add.at(total, (piece[piece >= 0], g[rows[piece >= 0]]), used[piece >= 0])
             low = width
+        for k in np.flatnonzero(lengths > low):
+            self._expected_in_one(words[k], n[k], int(lang[k]), log_probs[:, lang[k]], total)
         return total
 
+    def _expected_in_one(self, word: str, n: float, lang: int, log_probs: np.ndarray, total: np.ndarray) -> None:
+        """The same for one long word, added to ``total``."""
+        steps = [(i, j, p, _LOG_UNKNOWN if p < 0 else float(log_probs[p])) for i, j, p in self.edges(word)]
+        size = len(word) + 1
+        alpha, beta = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+        alpha[0] = beta[size] = 0.0
+        for i, j, _, q in steps:
+            alpha[j] = _log_sum(alpha[j], alpha[i] + q)
+        for i, j, _, q in reversed(steps):
+            beta[i] = _log_sum(beta[i], beta[j] + q)
+        for i, j, p, q in steps:
+            if p >= 0:
+                total[p, lang] += n * math.exp(alpha[i] + q + beta[j] - alpha[size])
+
     def _known(self, piece: np.ndarray) -> np.ndarray:
         return np.where((piece >= 0)[:, None], self.probs[piece], UNKNOWN)
 
@@ -148,7 +178,7 @@ class PieceModel:
         for i in range(width):
             live = np.flatnonzero(lengths > i)
             key = np.zeros(live.size, dtype=np.uint64)
-            for j in range(i + 1, min(i + LONGEST_PIECE, width) + 1):
+            for j in range(i + 1, min(i + self.longest, width) + 1):
                 live, key = (live, key) if (inside := lengths[live] >= j).all() else (live[inside], key[inside])
                 if not live.size:
                     break
@@ -177,6 +207,14 @@ class PieceModel:
         return found
 
 
+_LOG_UNKNOWN = math.log(UNKNOWN)
+
+
+def _log_sum(a: float, b: float) -> float:
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 def _slices(at: np.ndarray) -> Iterator[np.ndarray]:
     for k in range(0, at.size, _WORDS_AT_ONCE):
         yield at[k : k + _WORDS_AT_ONCE]
@@ -205,7 +243,7 @@ def load_pieces(path: str = VOCABULARY) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i))
-    good = (p for p in found if p == p.lower() and len(p) <= LONGEST_PIECE and (p == _START or _WORD.fullmatch(p.removeprefix(_START))))
+    good = (p for p in found if p == p.lower() and (p == _START or _WORD.fullmatch(p.removeprefix(_START))))
     return sorted(set(good))
 
 
@@ -288,22 +326,26 @@ def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            langs, scores = scorer(batch.column(1))
+            langs, scores, _ = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: PieceModel, least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns as they are, whose text has a language with at least that score."""
+def with_language(docs: DataFrame, model: PieceModel, least_score: float, least_per_letter: float = -math.inf, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, whose text has a language with at least that score.
+
+    The score only weighs the learned languages against each other. ``least_per_letter`` asks for more: so much log
+    probability for each letter, in the best of them, as texts in none of them do not have.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def accepted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            langs, scores = scorer(batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array([g != "und" and s >= least_score for g, s in zip(langs, scores, strict=True)], pa.bool_()))
+            found = zip(*scorer(batch.column(batch.schema.get_field_index(text_col))), strict=True)
+            yield batch.filter(pa.array([g != "und" and s >= least_score and each >= least_per_letter for g, s, each in found], pa.bool_()))
 
     return docs.mapInArrow(accepted, docs.schema)
 
@@ -314,35 +356,38 @@ class _Scorer:
     def __init__(self, model: PieceModel):
         self.model, self.at, self.table = model, {}, np.empty((0, len(model.langs)))
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
+        """For each text the language, its score, and its log probability for each letter."""
+        langs, scores, each = [], [], []
         for at in range(0, len(texts), _TEXTS_AT_ONCE):
-            for out, part in zip((langs, scores), self._some(texts.slice(at, _TEXTS_AT_ONCE).to_pylist()), strict=True):
+            for out, part in zip((langs, scores, each), self._some(texts.slice(at, _TEXTS_AT_ONCE).to_pylist()), strict=True):
                 out += part
-        return langs, scores
+        return langs, scores, each
 
-    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         counts = [Counter(words_of(t)) for t in texts]
         if not self.model.langs:
-            return ["und"] * len(counts), [0.0] * len(counts)
+            return ["und"] * len(counts), [0.0] * len(counts), [-math.inf] * len(counts)
         if len(self.at) > _CACHED_WORDS:
             self.at, self.table = {}, np.empty((0, len(self.model.langs)))
         new = list({w for c in counts for w in c if w not in self.at})
         if new:
             self.at.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self.model.log_words(new)])
-        langs, scores = [], []
+        langs, scores, each = [], [], []
         for c in counts:
             if not any(ch.isalpha() for word in c for ch in word):  # a word may be a fraction or the like
                 langs.append("und")
                 scores.append(0.0)
+                each.append(-math.inf)
                 continue
             rows = np.fromiter(map(self.at.__getitem__, c), dtype=np.int64, count=len(c))
             total = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ self.table[rows] + self.model.log_prior
             best = int(np.argmax(total))
             langs.append(self.model.langs[best])
             scores.append(1.0 / float(np.exp(total - total[best]).sum()))
-        return langs, scores
+            each.append(float(total[best]) / sum(len(word) * n for word, n in c.items()))
+        return langs, scores, each
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
