@@ -2,7 +2,7 @@
 
 Each message is parsed into its own lines and quoted passages with their nesting levels. Hashes of normalised quoted
 passages are joined to those of the messages' own passages in the same conversation, which shows what a message replies
-to. Replies are put in order by thread, and quotes are left out of the text.
+to. Each root and the replies below it become one conversation in reply order, with the quotes left out of the text.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.scratch import Scratch, small_batches
 
-#: Shorter passages, once normalised, say nothing about what is quoted.
-PASSAGE_CHARS = 8
+#: Messages in one row of a conversation, about: longer ones span several rows.
+PART_MESSAGES = 512
 _MARKS = re.compile(r"(?:>[ ]?)+")
 _SPACE = re.compile(r"\s+")
 
@@ -49,7 +49,7 @@ def parse(text: str | None) -> tuple[str | None, list[tuple[int, str]], list[str
     for level, lines in blocks:
         for passage in (*lines, "\n".join(lines)):
             passage = _SPACE.sub(" ", passage).strip().lower()
-            if len(passage) >= PASSAGE_CHARS:
+            if passage:
                 quoted.add((level, passage)) if level else own.add(passage)
     clean = re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n") if len(kept) < text.count("\n") + 1 else text
     return clean, sorted(quoted), sorted(own)
@@ -75,12 +75,14 @@ def _parse_all(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_quotes(messages: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """One row per row of ``messages``: ``conv_id, turn, role, parent_turn, root_turn, depth, n_quotes, text, chat``.
+    """One row per row of ``messages``: ``conv_id, turn, role, parent_turn, root_turn, depth, n_quotes, text, chat, row``.
 
     ``parent_turn`` is the earlier turn of the conversation from which most quoted characters come, at the lowest level
     for which any is found (equal: the latest turn); a passage's origin is the first turn that has it unquoted.
     ``root_turn`` and ``depth`` follow the parents up; a message without a parent is its own root. In the order of
-    ``root_turn, turn`` each thread is together and every reply comes after its parent.
+    ``root_turn, turn`` each thread is together and every reply comes after its parent. A passage of any length counts.
+
+    ``row`` numbers the rows, in no order.
 
     Null texts stay null and link nothing; messages with a null conversation or turn are roots. Repeated turns share
     one parent. Empty texts are kept. An empty table gives an empty result; other columns are ignored.
@@ -90,7 +92,8 @@ def link_quotes(messages: DataFrame, conv_col="conv_id", turn_col="turn", role_c
     scratch = Scratch(spark, "chat")
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     kinds = {k: rows.schema[c].dataType.simpleString() for k, c in (("conv", "conv_id"), ("turn", "turn"), ("role", "role"))}
-    parsed = scratch.put(rows.mapInArrow(_parse_all, _PARSED.format(**kinds)), "parsed")
+    parsed = rows.mapInArrow(_parse_all, _PARSED.format(**kinds)).withColumn("row", F.monotonically_increasing_id())
+    parsed = scratch.put(parsed, "parsed")
     quotes = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.hash", "q.size")
     quoted = scratch.put(quotes.distinct(), "quoted")
     asked = quoted.select("conv_id", "hash").distinct()
@@ -112,6 +115,7 @@ def link_quotes(messages: DataFrame, conv_col="conv_id", turn_col="turn", role_c
         F.size("quotes").cast("long").alias("n_quotes"),
         "text",
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n")).alias("chat"),
+        "row",
     )
 
 
@@ -138,7 +142,36 @@ def thread_roots(scratch: Scratch, parents: DataFrame) -> DataFrame:
     return up
 
 
-def in_reply_order(linked: DataFrame, partitions: int) -> DataFrame:
-    """The messages sorted by conversation, thread and turn over ``partitions`` ranges; a large one may span several."""
-    order = ["conv_id", "root_turn", "turn"]
-    return linked.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+def conversations(linked: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
+    """Conversations in reply order from the messages of ``link_quotes``: ``conv_id, root_turn, part, n_parts,
+    n_messages, messages, chat``.
+
+    A root and all replies below it are one conversation, ordered by turn: a reply comes after what it replies to.
+    One with more than ``part_messages`` turns from first to last spans rows with the next turns each; of a part with
+    more rows than that, because turns repeat, rows are dealt to more parts by hash. So no row or task holds a
+    conversation of any size. ``messages`` has each message with its ``turn, role, parent_turn, depth, text``; ``chat``
+    is their formatted text. Messages with a null turn are in parts of their own, as they have no place in the order.
+    """
+    scratch = Scratch(linked.sparkSession, "conversations")
+    key = ["conv_id", "root_turn", "nth"]
+    said = linked.withColumn("nth", F.floor((F.col("turn") - F.col("root_turn")) / part_messages))
+    sizes = scratch.put(said.groupBy(*key).agg(F.count("*").alias("n")), "sizes")
+    sizes = sizes.toDF(*[f"p_{c}" for c in key], "n").withColumn("slots", F.ceil(F.col("n") / part_messages))
+    said = said.join(sizes.hint("merge"), F.expr(" and ".join(f"{c} <=> p_{c}" for c in key)))
+    slot = F.pmod(F.xxhash64("row"), F.col("slots"))
+    message = F.struct("turn", "role", "parent_turn", "depth", "text", "chat")
+    parts = said.withColumn("slot", slot).groupBy(*key, "slot").agg(F.array_sort(F.collect_list(message)).alias("all"))
+    places = sizes.select(*[F.col(f"p_{c}").alias(c) for c in key], "slots")
+    before = F.sum("slots").over(Window.partitionBy("conv_id", "root_turn").orderBy("nth")) - F.col("slots")
+    total = F.sum("slots").over(Window.partitionBy("conv_id", "root_turn"))
+    places = scratch.put(places.select(*key, before.alias("before"), total.alias("n_parts")), "places")
+    places = places.toDF(*[f"p_{c}" for c in key], "before", "n_parts")
+    return parts.join(places.hint("merge"), F.expr(" and ".join(f"{c} <=> p_{c}" for c in key))).select(
+        "conv_id",
+        "root_turn",
+        (F.col("before") + F.col("slot")).alias("part"),
+        "n_parts",
+        F.size("all").cast("long").alias("n_messages"),
+        F.transform("all", lambda m: F.struct(*[m[c].alias(c) for c in ("turn", "role", "parent_turn", "depth", "text")])).alias("messages"),
+        F.array_join(F.transform("all", lambda m: m["chat"]), "").alias("chat"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm.chat_format import in_reply_order, link_quotes
+from weftline.llm.chat_format import conversations, link_quotes
 from weftline.llm.decontaminate import edit_hits
 from weftline.llm.exact_dedup import exact_groups
 from weftline.llm.language_id import identify
@@ -40,8 +40,7 @@ def op5_mixing(spark, sf_dir):
 
 
 def op6_chat_format(spark, sf_dir):
-    linked = link_quotes(_read(spark, sf_dir, "conversations"))
-    return in_reply_order(linked, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return conversations(link_quotes(_read(spark, sf_dir, "conversations")))
 
 
 def op7_secret_scan(spark, sf_dir):
