@@ -53,15 +53,25 @@ def validity(entries: DataFrame) -> DataFrame:
     return day.select("pattern", F.col("day").alias("since"), after.alias("until"), "removed").where("removed = 0").drop("removed")
 
 
-def patterns_of(url: Column) -> Column:
-    """The patterns that match a url: its host, each parent domain, and the host with each start of the path."""
+def patterns_of(url: Column, labels: list[int], depths: list[int]) -> Column:
+    """The patterns that may match a url: its last so many labels of the host, and the host with so many path segments.
+
+    ``labels`` and ``depths`` are those that listed patterns have: a url costs its length for each of them.
+    """
     host, path = F.lower(F.regexp_extract(url, _HOST, 1)), F.regexp_extract(url, _PATH, 1)
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))
-    )
-    return F.when(host != "", F.array_distinct(F.concat(domains, starts)))
+    n_labels, n_parts = F.regexp_count(host, F.lit(r"\.")) + 1, F.regexp_count(path, F.lit("/"))
+    domains = [F.when(n_labels >= n, F.substring_index(host, ".", -n)) for n in labels]
+    starts = [F.when(n_parts >= n, F.concat(host, F.substring_index(path, "/", n), F.lit("/"))) for n in depths]
+    bare = [F.when(n_parts == 0, F.concat(host, F.lit("/")))] if 1 in depths else []
+    return F.when(host != "", F.array_compact(F.array(*domains, *starts, *bare).cast("array<string>")))
+
+
+def listed_shapes(active: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels of listed domains, and of slashes of listed paths: few, however long the list is."""
+    path = F.col("pattern").contains("/")
+    size = F.when(path, F.regexp_count("pattern", F.lit("/"))).otherwise(F.regexp_count("pattern", F.lit(r"\.")) + 1)
+    found = active.select(path.alias("path"), size.alias("size")).distinct().orderBy("size").collect()
+    return [r["size"] for r in found if not r["path"]], [r["size"] for r in found if r["path"]]
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day: Column | None = None) -> DataFrame:
@@ -75,7 +85,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     rows = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), (fetch_day(F.col(id_col)) if day is None else day).alias("fetched"))
     rows = scratch.put(rows.withColumn("capture", F.monotonically_increasing_id()), "captures")
     active = scratch.put(validity(entries), "validity")
-    wanted = rows.where("fetched is not null").select("capture", "fetched", F.explode(patterns_of(F.col("url"))).alias("pattern"))
+    tried = patterns_of(F.col("url"), *listed_shapes(active))
+    wanted = rows.where("fetched is not null").select("capture", "fetched", F.explode(tried).alias("pattern"))
     met = wanted.join(active, "pattern").where("since <= fetched and (until is null or fetched < until)")
     best = met.groupBy("capture").agg(F.max_by(F.struct("pattern", "since"), F.struct(F.length("pattern"), "pattern")).alias("entry"))
     return rows.join(best, "capture", "left").select(
