@@ -23,6 +23,8 @@ FAN_IN = 4
 SMALLEST_BYTES = 64 << 10
 #: Rows of one small shard, at most.
 ARRIVAL_ROWS = 50_000
+#: Shards that one commit merges, at most; what else is due waits for the next one.
+DUE_SHARDS = 10_000
 
 #: A shard's path in the manifest: below the root, wherever that is mounted.
 _RELATIVE = ".*/(shards/[am]-[0-9a-f]{32}/.+)$"
@@ -77,44 +79,51 @@ class ShardStore:
         return self.commit(self._with_new(old, folder, arrivals.schema), arrivals.schema, base)
 
     def _with_new(self, old: DataFrame, folder: str, schema: T.StructType) -> DataFrame:
-        """``old`` and the files of ``folder``, which get the next shard ids in the order of their names."""
+        """``old`` and the files of ``folder``, which get higher shard ids."""
         written = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/{folder}")
         meta = written.metadataColumn("_metadata")
         files = written.groupBy(F.regexp_extract(meta["file_path"], _RELATIVE, 1).alias("path"), meta["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
         last = old.agg(F.coalesce(F.max("shard_id"), F.lit(0))).first()[0]
-        new = files.select((F.lit(last) + F.row_number().over(Window.orderBy("path"))).alias("shard_id"), "path", "rows", "bytes")
+        new = files.select((F.lit(last + 1) + F.monotonically_increasing_id()).alias("shard_id"), "path", "rows", "bytes")
         return old.select("shard_id", "path", "rows", "bytes").unionByName(new)
 
     def plan(self, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
-        """The merges that are due: ``path, bytes, merged``. Shards with one number ``merged`` (from 0) go into one file.
+        """The merges of the next commit: ``path, bytes, merged``. Shards with one number ``merged`` go into one file.
 
         Shards of half the target or more are left alone. A tier's shards are packed in the order of their ids, so a
-        file gets up to the target and part of one shard more.
+        file gets up to the target and part of one shard more. At most ``DUE_SHARDS`` shards are planned at a time.
         """
         tier = F.floor(F.log(float(fan_in), F.greatest(F.col("bytes"), F.lit(SMALLEST_BYTES)) / SMALLEST_BYTES))
         small = self.manifest().where(F.col("bytes") < target_bytes / 2).withColumn("tier", tier)
-        small = small.withColumn("runs", F.count("*").over(Window.partitionBy("tier"))).where(F.col("runs") >= fan_in)
+        tiers = small.groupBy("tier").agg(F.count("*").alias("runs")).where(F.col("runs") >= fan_in).select("tier")
+        due = small.join(tiers, "tier").orderBy("tier", "shard_id").limit(DUE_SHARDS)
         before = F.sum("bytes").over(Window.partitionBy("tier").orderBy("shard_id")) - F.col("bytes")
-        packed = small.withColumn("nth", F.floor(before / target_bytes))
+        packed = due.withColumn("nth", F.floor(before / target_bytes))
         return packed.select("path", "bytes", (F.dense_rank().over(Window.orderBy("tier", "nth")) - 1).alias("merged"))
 
     def compact(self, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> bool:
-        """Merge once what is due and commit the next version; False if nothing is due."""
+        """Merge once what is due and commit the next version; False if nothing is due. Only shards that are due are read."""
         base = self.versions()[-1]
-        plan = self.plan(target_bytes, fan_in)
-        due = plan.select("merged").distinct().count()
-        if not due:
+        plan = self.plan(target_bytes, fan_in).collect()  # at most DUE_SHARDS rows
+        if not plan:
             return False
         schema = self.schema()
-        prefix = spare_prefix(schema.names)
-        path, to = f"{prefix}path", f"{prefix}merged"
-        rows = self.read(path=path).join(plan.select(F.col("path").alias(path), F.col("merged").alias(to)), path).drop(path)
+        p = spare_prefix(schema.names)
+        path, to = f"{p}path", f"{p}merged"
+        due = self.spark.createDataFrame([(r["path"], r["merged"]) for r in plan], f"{path} string, {to} long")
+        rows = self.read_files([r["path"] for r in plan], schema, path).join(F.broadcast(due), path).drop(path)
         folder = f"shards/m-{uuid.uuid4().hex}"
-        rows.repartitionById(due, to).write.option("compression", "zstd").partitionBy(to).parquet(f"{self.root}/{folder}")
-        kept = self.manifest().join(plan, "path", "left_anti")
+        merged = rows.repartitionById(len({r["merged"] for r in plan}), F.col(to).cast("int"))
+        merged.write.option("compression", "zstd").partitionBy(to).parquet(f"{self.root}/{folder}")
+        kept = self.manifest().join(due.select(F.col(path).alias("path")), "path", "left_anti")
         self.commit(self._with_new(kept, folder, schema), schema, base)
         return True
 
+    def read_files(self, paths: list[str], schema: T.StructType, path: str) -> DataFrame:
+        """The rows of these files or folders below the root, with their file's path in the column ``path``."""
+        found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in paths])
+        return found.withColumn(path, F.regexp_extract(found.metadataColumn("_metadata")["file_path"], _RELATIVE, 1))
+
     def schema(self) -> T.StructType:
         return T.StructType.fromJson(json.loads(self._entries(None).where("path is null").first()["schema"]))
 
@@ -125,8 +134,7 @@ class ShardStore:
         prefix = spare_prefix([*schema.names, path or "", shard_id or ""])
         named = shards.select(F.col("path").alias(f"{prefix}path"), F.col("shard_id").alias(f"{prefix}id"))
         if folders:
-            found = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/{f}" for f in folders])
-            rows = found.withColumn(f"{prefix}path", F.regexp_extract(found.metadataColumn("_metadata")["file_path"], _RELATIVE, 1))
+            rows = self.read_files(folders, schema, f"{prefix}path")
         else:
             rows = self.spark.createDataFrame([], schema).withColumn(f"{prefix}path", F.lit(""))
         added = [F.col(prefix + held).alias(name) for held, name in (("path", path), ("id", shard_id)) if name]
