@@ -7,13 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only by a local session that names no checkpoint folder, as in tests.
 LOCAL_DIR = "/tmp/checkpoints/weftline"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a default if that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which only a local session may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or LOCAL_DIR).rstrip("/")
 
 
 class Scratch:
