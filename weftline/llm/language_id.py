@@ -31,6 +31,8 @@ ROUNDS = 2
 #: Probability of a character that is no piece.
 UNKNOWN = 1e-6
 SMOOTHING = 0.01
+#: Log prior of a text in no learned language: so much more than the best of them it has to explain.
+LOG_UNDETERMINED = -20.0
 #: Alphas are brought back to 1 after so many characters, so that no run of improbable ones comes to 0.
 _RESCALED = 8
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,6 +71,13 @@ class PieceModel:
         self.__dict__ |= state
         self.__post_init__()
 
+    def with_undetermined(self) -> PieceModel:
+        """The model with one more language, ``und``, in which all pieces are equally likely; the first, so that it wins ties."""
+        if not self.langs:
+            return self
+        flat = np.full((len(self.pieces), 1), 1.0 / len(self.pieces))
+        return PieceModel(self.pieces, ["und", *self.langs], np.hstack([flat, self.probs]), np.append(LOG_UNDETERMINED, self.log_prior))
+
     def edges(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, piece) of every piece in the marked word; -1 is an unknown character."""
         s = _START + word
@@ -326,26 +335,27 @@ def predict(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            langs, scores, _ = scorer(batch.column(1))
+            langs, scores = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: PieceModel, least_score: float, least_per_letter: float = -math.inf, text_col: str = "text") -> DataFrame:
+def with_language(docs: DataFrame, model: PieceModel, least_score: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns as they are, whose text has a language with at least that score.
 
-    The score only weighs the learned languages against each other. ``least_per_letter`` asks for more: so much log
-    probability for each letter, in the best of them, as texts in none of them do not have.
+    Other than in ``predict`` a text may be in none of the languages: where all pieces being equally likely explains it
+    far better. Short texts hold too little for that and go to the likeliest language.
     """
+    model = model.with_undetermined()
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def accepted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
         for batch in batches:
-            found = zip(*scorer(batch.column(batch.schema.get_field_index(text_col))), strict=True)
-            yield batch.filter(pa.array([g != "und" and s >= least_score and each >= least_per_letter for g, s, each in found], pa.bool_()))
+            langs, scores = scorer(batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array([g != "und" and s >= least_score for g, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(accepted, docs.schema)
 
@@ -356,38 +366,35 @@ class _Scorer:
     def __init__(self, model: PieceModel):
         self.model, self.at, self.table = model, {}, np.empty((0, len(model.langs)))
 
-    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float], list[float]]:
-        """For each text the language, its score, and its log probability for each letter."""
-        langs, scores, each = [], [], []
+    def __call__(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        langs, scores = [], []
         for at in range(0, len(texts), _TEXTS_AT_ONCE):
-            for out, part in zip((langs, scores, each), self._some(texts.slice(at, _TEXTS_AT_ONCE).to_pylist()), strict=True):
+            for out, part in zip((langs, scores), self._some(texts.slice(at, _TEXTS_AT_ONCE).to_pylist()), strict=True):
                 out += part
-        return langs, scores, each
+        return langs, scores
 
-    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    def _some(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         counts = [Counter(words_of(t)) for t in texts]
         if not self.model.langs:
-            return ["und"] * len(counts), [0.0] * len(counts), [-math.inf] * len(counts)
+            return ["und"] * len(counts), [0.0] * len(counts)
         if len(self.at) > _CACHED_WORDS:
             self.at, self.table = {}, np.empty((0, len(self.model.langs)))
         new = list({w for c in counts for w in c if w not in self.at})
         if new:
             self.at.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, self.model.log_words(new)])
-        langs, scores, each = [], [], []
+        langs, scores = [], []
         for c in counts:
             if not any(ch.isalpha() for word in c for ch in word):  # a word may be a fraction or the like
                 langs.append("und")
                 scores.append(0.0)
-                each.append(-math.inf)
                 continue
             rows = np.fromiter(map(self.at.__getitem__, c), dtype=np.int64, count=len(c))
             total = np.fromiter(c.values(), dtype=np.float64, count=len(c)) @ self.table[rows] + self.model.log_prior
             best = int(np.argmax(total))
             langs.append(self.model.langs[best])
             scores.append(1.0 / float(np.exp(total - total[best]).sum()))
-            each.append(float(total[best]) / sum(len(word) * n for word, n in c.items()))
-        return langs, scores, each
+        return langs, scores
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
