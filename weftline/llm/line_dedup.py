@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from weftline.llm.bitfilter import bit_table, maybe_in
 from weftline.llm.scratch import Scratch, spare_prefix
 
-#: Shorter lines are compared for equality only: one edit makes another word of them.
-NEAR_CHARS = 24
+#: Lines of any length may be within one edit of another; a caller may ask for more characters.
+NEAR_CHARS = 1
 SEGMENTS = 16
 #: Segments up to this length emit their variants.
 PIECE_CHARS = 64
@@ -29,7 +29,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` with repeated lines taken out of their texts, and ``n_lines``, ``n_exact``, ``n_near``.
 
     Lines end with \\n and are compared without spaces at both ends; the lines that stay keep theirs. Lines without
-    other characters always stay and don't count. ``n_exact`` counts lines that equal an earlier one, ``n_near`` those
+    other characters always stay and don't count. Lines under ``near_chars`` are compared for equality only; by default
+    there are none, so lines of one character are all within one edit of each other. ``n_exact`` counts lines that equal an earlier one, ``n_near`` those
     that are only within one edit of one. Null texts stay null, with counts of 0. A null id is earlier than any other.
     Rows with the same id and text are one document: they lose the same lines. An empty table gives an empty result.
     Columns named like the three counts are replaced; other columns may have any name.
