@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -60,6 +61,65 @@ def test_weak_parts_need_each_other(spark):
     assert got == {0: [], 1: ["blob"], 2: [], 3: [], 4: ["blob", "endpoint", "ident"], 5: []}
 
 
+def brute_linked(text, scope):
+    """Weak candidates that have all their complements, each clear of them and at most ``scope`` away."""
+    text, found = text or "", [(a, k, b, name) for a, k, b, name in base_spans(text or "")]
+    for k, kind in enumerate(secret_scan.PATTERNS):
+        if kind not in secret_scan.BASE:
+            found += [(m.start(), k, m.end(), kind) for m in re.finditer(secret_scan.PATTERNS[kind], text)]
+    real = [s for s in found if s[3] != "blob"]
+    has_both = lambda s: re.search("[0-9]", text[s[0] : s[2]]) and re.search("[A-Za-z]", text[s[0] : s[2]])
+    blobs = [s for s in found if s[3] == "blob" and has_both(s) and not any(o[0] < s[2] and s[0] < o[2] for o in real)]
+    spans, out = real + blobs, []
+    for s in spans:
+        near = {secret_scan.ROLES.get(o[3]) for o in spans if s[0] - scope <= o[2] <= s[0] or s[2] <= o[0] <= s[2] + scope}
+        if s[3] in secret_scan.NEEDS and near >= set(secret_scan.NEEDS[s[3]]):
+            out.append(s)
+    return sorted(out)
+
+
+def test_linking_against_brute_force(spark):
+    rng = random.Random(11)
+    some = lambda n, of="abcdefghijXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
+    texts = [
+        "user_id=3f2504e0-4f89-11d3-9a0c-0305e82c3301",
+        "user_id: abcd see https://example.com/2024/some-long-article-title-here",
+        "account_id=acct-0123456789abcdefghijklmnop",
+        "client_id=0123456789abcdef0123456789abcdef",
+    ]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            parts.append(
+                rng.choice(
+                    [
+                        lambda: rng.choice(["client_id", "user_id", "id", "account_id"]) + rng.choice(["=", ": ", " = '"]) + some(rng.choice([3, 6, 30])),
+                        lambda: rng.choice(["token", "API_KEY", "secret"]) + rng.choice(["=", ": "]) + some(rng.choice([5, 14])),
+                        lambda: "AKIA" + some(rng.choice([8, 16]), "ABCDEFGH123"),
+                        lambda: some(rng.choice([10, 24, 40])),
+                        lambda: some(rng.choice([8, 16, 33]), "0123456789abcdef"),
+                        lambda: rng.choice(["https", "redis"]) + "://db." + some(5, "abc") + "/" + some(rng.choice([3, 30])),
+                        lambda: "word é😀 " * rng.randint(1, 8),
+                    ]
+                )()
+            )
+        texts.append(rng.choice([" ", " ", "\n", "/", ""]).join(parts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for scope in (20, 200):
+        got = {r.doc_id: sorted(map(tuple, r.linked)) for r in secret_scan.scan_secrets(rows, scope=scope).collect()}
+        expected = {i: brute_linked(t, scope) for i, t in enumerate(texts)}
+        assert got == expected
+        assert not any(expected[i] for i in range(4)) and sum(map(len, expected.values())) > 50
+
+
+def test_text_full_of_secrets(spark):
+    text = "0123456789abcdef " * 60_000 + "client_id=abcd1234 token=abcdefghijklmnop"
+    got = secret_scan.secret_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (got.n_hex, got.n_assign, got.n_linked) == (60_000, 1, 1)
+    spans = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text))
+    assert got.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_secrets_odd_rows(odd_docs, odd_rows, no_docs):
     assert Counter(r.doc_id for r in secret_scan.secret_report(odd_docs).collect()) == Counter(r[0] for r in odd_rows)
     assert secret_scan.secret_report(no_docs).collect() == []
@@ -80,7 +140,7 @@ def all_segmentations(model, word):
         if i == len(s):
             return np.ones(2)
         out = np.zeros(2)
-        for j in range(i + 1, min(len(s), i + language_id.LONGEST_PIECE) + 1):
+        for j in range(i + 1, min(len(s), i + model.longest) + 1):
             p = model.index.get(s[i:j])
             if p is not None:
                 out = out + model.probs[p] * total(j)
@@ -104,6 +164,44 @@ def test_long_words_agree(model):
         assert np.isfinite(model.log_words([w])).all() and np.allclose(model.log_words([w])[0], model.log_word(w))
 
 
+def test_long_runs_of_every_script(spark, model):
+    """No sum of a long run comes to nothing, in words that are scored together or alone, nor in a whole text."""
+    scripts = {}
+    for p in model.pieces:
+        if len(p) == 1 and p.isalpha():
+            scripts.setdefault(unicodedata.name(p, "?").split()[0], []).append(p)
+    runs = ["".join((chars * n)[:n]) for chars in scripts.values() for n in (20, 40, 43, 47, 48, 100, 3000)]
+    assert len(scripts) > 5 and {"CJK", "HANGUL", "LATIN", "CYRILLIC"} <= set(scripts)
+    rare = language_id.PieceModel(model.pieces, model.langs, model.probs * 1e-3 + 1e-9, model.log_prior)
+    for m in (model, rare):
+        got = m.log_words(runs)
+        assert np.isfinite(got).all() and np.allclose(got[:14], [m.log_word(w) for w in runs[:14]])
+    found = language_id.predict(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), rare).collect()
+    assert len(found) == len(runs) and all(r.lang_pred in "ab" and 0 <= r.score <= 1 for r in found)
+
+
+def test_long_words_are_learned(model):
+    words = ["the" * 10, "漢字" * 40, "that" * 30]
+    n, lang = np.array([1.0, 2.0, 3.0]), np.array([0, 1, 1])
+    together = model.expected(words, n, lang)
+    alone = np.zeros(model.probs.shape)
+    for w, k, g in zip(words, n, lang, strict=True):
+        model._expected_in_one(w, k, int(g), np.log(model.probs[:, g]), alone)
+    assert np.allclose(together, alone) and (together.sum(axis=0) > 10).all()
+
+
+def test_unlearned_scripts_are_rejected(spark):
+    rng = random.Random(2)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(40))
+    rows = [(i, text("etaoinshr" if i % 2 else "eiunrtdgs"), "en" if i % 2 else "de") for i in range(60)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fitted = language_id.fit(known)
+    more = [(100, text("etaoin"), None), (101, text("漢字語文学"), None), (102, text("деноиск"), None), (103, text("etaoi") + " é", None), (104, "漢", None)]
+    docs = spark.createDataFrame(more, known.schema)
+    kept = {r.doc_id for r in language_id.with_language(docs, fitted, 0.5).collect()}
+    assert kept == {100, 103, 104} and language_id.predict(docs, fitted).where("lang_pred = 'und'").isEmpty()
+
+
 def test_expected_counts(model):
     words, n, lang = ["the", "that", "é"], np.array([3.0, 1.0, 2.0]), np.array([0, 1, 0])
     got = model.expected(words, n, lang)
@@ -181,6 +279,38 @@ def test_decontamination(spark, odd_docs, odd_rows, no_docs):
     assert decontaminate.edit_hits(no_docs, items).collect() == [] and decontaminate.edit_hits(odd_docs, items.limit(0)).collect() == []
 
 
+def test_items_of_any_length_and_kind_of_id(spark):
+    rng = random.Random(4)
+    item = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n)).strip() + "z"
+    texts = [item(n) for n in (2, 3, 5, 8, 11, 12, 14, 18, 23, 25, 30, 38, 60)] + ["ab", "", "?!"]
+    texts = [decontaminate.normalised(t) for t in texts[:-1]] + texts[-1:]
+    docs = []
+    for t in texts:
+        for edits in (0, 1, 2):
+            body = t
+            for _ in range(edits):
+                at = rng.randrange(len(body) + 1)
+                body = body[:at] + rng.choice(["", "q", "qq"]) + body[at + 1 :]
+            docs.append(f"{item(30)} {body} {item(5)}")
+    docs.append("x" + " ".join(texts) + "x")
+    normal = [decontaminate.normalised(d) for d in docs]
+
+    def found(t, text):
+        budget = int(decontaminate.ERROR_RATE * len(t))
+        return bool(t) and (substring_distance(t, text) <= budget if budget else f" {t} " in f" {text} ")
+
+    expected = {(d, i) for i, t in enumerate(texts) for d, text in enumerate(normal) if found(decontaminate.normalised(t), text)}
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    for kind, name in (("int", int), ("string", "i{}".format), ("decimal(9,0)", int)):
+        items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id int, text string")
+        items = items.selectExpr("concat('i', item_id) as item_id" if kind == "string" else f"cast(item_id as {kind}) as item_id", "text")
+        got = decontaminate.edit_hits(rows, items)
+        assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+        assert {(r.doc_id, r.item_id) for r in got.collect()} == {(d, name(i)) for d, i in expected}
+    assert {r.doc_id for r in decontaminate.without_leaks(rows, items).collect()} == set(range(len(docs))) - {d for d, _ in expected}
+    assert len({i for _, i in expected}) == 14
+
+
 def test_each_block_has_its_own_matcher():
     class Shared:
         def __init__(self, *texts):
@@ -228,11 +358,99 @@ def test_quotation_linking(spark):
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "message number 0 of the chain")]
     rows += [(1, k, "user", f"> message number {k - 1} of the chain\nmessage number {k} of the chain") for k in range(1, 40)]
-    got = chat_format.link_quotes(spark.createDataFrame(rows + rows[5:6], "conv_id long, turn long, role string, text string"))
-    assert sorted((r.turn, r.root_turn, r.depth) for r in got.collect()) == sorted([(k, 0, k) for k in range(40)] + [(5, 0, 5)])
-    ordered = [r.turn for r in chat_format.in_reply_order(got.distinct(), 3).collect()]
-    assert ordered == list(range(40))
+    linked = chat_format.link_quotes(spark.createDataFrame(rows + rows[5:6], "conv_id long, turn long, role string, text string"))
+    assert sorted((r.turn, r.root_turn, r.depth) for r in linked.collect()) == sorted([(k, 0, k) for k in range(40)] + [(5, 0, 5)])
+    parts = sorted(chat_format.conversations(linked, 8).collect(), key=lambda r: r.part)
+    assert [r.part for r in parts] == list(range(6)) and {r.n_parts for r in parts} == {6}
+    assert all(r.n_messages == len(r.messages) <= 9 for r in parts)
+    assert sorted(m.turn for r in parts for m in r.messages) == sorted([*range(40), 5])
+    whole = chat_format.conversations(linked.where("turn != 5 or row % 2 = 0")).collect()
+    assert len(whole) == 1 and [m.turn for m in whole[0].messages] == sorted(m.turn for m in whole[0].messages)
+    assert whole[0].chat.count("<|end|>") == whole[0].n_messages and ">" not in "".join(m.text for m in whole[0].messages)
+
+
+def brute_passages(text, quoted):
+    """(level, passage) of a text: whole passages and their lines, normalised."""
+    blocks, before = [], None
+    for line in (text or "").split("\n"):
+        level, at = 0, 0
+        while at < len(line) and line[at] == ">":
+            level, at = level + 1, at + 1
+            at += line[at : at + 1] == " "
+        body = line[at:]
+        if not body.strip():
+            before = None
+            continue
+        if level != before:
+            blocks.append((level, []))
+            before = level
+        blocks[-1][1].append(body)
+    out = {(n, " ".join(p.split()).lower()) for n, lines in blocks for p in (*lines, "\n".join(lines))}
+    return {(n, p) for n, p in out if bool(n) == quoted}
+
+
+def brute_parents(rows):
+    out = {}
+    for conv, turn, _, text in rows:
+        votes = {}
+        for level, p in brute_passages(text, True):
+            origins = [t for c, t, _, x in rows if c == conv and (0, p) in brute_passages(x, False)]
+            if origins and min(origins) < turn:
+                votes[level, min(origins)] = votes.get((level, min(origins)), 0) + len(p)
+        best = max(votes, key=lambda v: (-v[0], votes[v], v[1]), default=None)
+        out[conv, turn] = best and best[1]
+    return out
+
+
+def test_links_of_random_quotes_against_brute_force(spark):
+    """Messages that quote: each takes lines of earlier ones, or whole ones with their quotes, one level deeper."""
+    rng = random.Random(6)
+    words = ["yes", "no", "ok", "why not", "Long   line with words", "é", "the same", "> odd"]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 12)):
+            lines = []
+            for _ in range(rng.randint(0, 3)) if said else ():
+                other = rng.choice(said).split("\n")
+                lines += [rng.choice(["> ", ">"]) + x for x in (other if rng.random() < 0.4 else [rng.choice(other)])]
+                lines += [""] * rng.randint(0, 1)
+            lines += [rng.choice(words) + rng.choice(["", f" {turn}", f" {rng.randint(0, 3)}"]) for _ in range(rng.randint(0, 3))]
+            said.append("\n".join(lines))
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), said[-1]))
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    docs = docs.selectExpr("*", "1 as level", "'x' as hash", "2 as row", "3 as part", "4 as root_turn")
+    linked = chat_format.link_quotes(docs)
+    got = {(r.conv_id, r.turn): r for r in linked.collect()}
+    parents = brute_parents(rows)
+    assert {k: r.parent_turn for k, r in got.items()} == parents and sum(p is not None for p in parents.values()) > 30
+    roots = {}
+    for (conv, turn), parent in sorted(parents.items()):
+        roots[conv, turn] = turn if parent is None else roots[conv, parent]
+    found = chat_format.conversations(linked).collect()
+    assert {(r.conv_id, m.turn): r.root_turn for r in found for m in r.messages} == roots
+    assert len(found) == len({(c, r) for (c, _), r in roots.items()})
+    for r in found:
+        place = {m.turn: k for k, m in enumerate(r.messages)}
+        assert all(m.parent_turn is None or place[m.parent_turn] < place[m.turn] for m in r.messages)
+        assert not any(line.startswith(">") for m in r.messages for line in m.text.split("\n"))
+
+
+def test_very_long_messages(spark):
+    long = "\n".join(f"line {k} of a long message" for k in range(20_000))
+    quote = "\n".join("> " + x for x in long.split("\n"))
+    docs = spark.createDataFrame([(1, 0, "user", long), (1, 1, "user", quote + "\nall of it"), (1, 2, "user", ">" * 5000 + " deep")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in chat_format.link_quotes(docs).collect()}
+    assert got[1].parent_turn == 0 and got[1].text == "all of it" and got[2].parent_turn is None and got[2].n_quotes == 1
+
+
+def test_a_turn_that_repeats_without_end(spark):
+    linked = chat_format.link_quotes(spark.range(100).selectExpr("1L as conv_id", "cast(if(id < 90, 7, null) as long) as turn", "'user' as role", "'x' as text"))
+    parts = chat_format.conversations(linked, 10).collect()
+    assert sum(r.n_messages for r in parts) == 100 and max(r.n_messages for r in parts) < 40 and len(parts) > 5
+    assert len({(r.root_turn, r.part) for r in parts}) == len(parts)
 
 
 def test_chat_empty(spark):
-    assert chat_format.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+    linked = chat_format.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert linked.collect() == [] and chat_format.conversations(linked).collect() == []
