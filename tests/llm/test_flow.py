@@ -1,4 +1,9 @@
 import datetime
+import hashlib
+import math
+import random
+import re
+import tempfile
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -6,7 +11,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from weftline.llm import mixing, queries, sharding, url_filter
+from weftline.llm import mixing, queries, scratch, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,6 +118,59 @@ def test_shards_are_packed_to_the_target(spark, odd_docs):
     assert len({r.shard_id for r in rows}) == len(rows) and sum(r.rows for r in rows) == odd_docs.count()
 
 
+def merged_by_hand(sizes, target, fan_in):
+    """The shards (in the order of their ids) that one compaction puts together: sets of places."""
+    tier = lambda n: math.floor(math.log(max(n, sharding.SMALLEST_BYTES) / sharding.SMALLEST_BYTES) / math.log(fan_in))
+    tiers = defaultdict(list)
+    for k, n in enumerate(sizes):
+        if n < target / 2:
+            tiers[tier(n)].append(k)
+    files = defaultdict(set)
+    for t, places in tiers.items():
+        before = 0
+        for k in places if len(places) >= fan_in else []:
+            files[t, before // target].add(k)
+            before += sizes[k]
+    return {frozenset(f) for f in files.values()}
+
+
+def test_compaction_against_a_model(spark):
+    rng = random.Random(8)
+    for fan_in, target in ((3, 400_000), (4, 1 << 20), (2, 200_000)):
+        store = sharding.ShardStore(spark, tempfile.mkdtemp(prefix="shards-"))
+        schema = spark.range(1).selectExpr("id as doc_id", "'' as text").schema
+        rows = [(k + 1, f"shards/a-{k:032x}/p.parquet", 1, int(2 ** rng.uniform(12, 20))) for k in range(30)]
+        store.commit(spark.createDataFrame(rows, "shard_id long, path string, rows long, bytes long"), schema, 0)
+        place = {r[1]: k for k, r in enumerate(rows)}
+        files = defaultdict(set)
+        for r in store.plan(target, fan_in).collect():
+            files[r.merged].add(place[r.path])
+        assert {frozenset(f) for f in files.values()} == merged_by_hand([r[3] for r in rows], target, fan_in)
+
+
+def test_compaction_reads_only_what_is_due(spark, odd_docs, monkeypatch):
+    store = sharding.ShardStore(spark, tempfile.mkdtemp(prefix="shards-"))
+    for _ in range(3):
+        store.append(odd_docs.limit(5).coalesce(1))
+    store.append(odd_docs.repartition(1))
+    held = {r.path: r.bytes for r in store.manifest().collect()}
+    target = max(held.values()) * 2
+    due = {r.path for r in store.plan(target, 3).collect()}
+    assert due == {p for p, n in held.items() if n < max(held.values())} and len(due) == 3
+    read, files = [], sharding.ShardStore.read_files
+    monkeypatch.setattr(sharding.ShardStore, "read_files", lambda self, paths, *more: read.append(paths) or files(self, paths, *more))
+    assert store.compact(target, 3) and [set(p) for p in read] == [due]
+    left = {r.path for r in store.manifest().collect()}
+    assert len(left) == 2 and not left & due
+    assert store.read().count() == 15 + odd_docs.count()
+
+
+def test_few_shards_at_a_time(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(sharding, "DUE_SHARDS", 4)
+    store = sharding.shard(odd_docs.repartition(9), target_bytes=1 << 20, fan_in=3)
+    assert store.versions()[-1] > 2 and store.read().exceptAll(odd_docs).isEmpty() and store.read().count() == odd_docs.count()
+
+
 def test_shard_report(odd_docs, odd_rows):
     got = sharding.shard_report(odd_docs, *odd_docs.columns).collect()
     sizes = Counter(r.shard_id for r in got)
@@ -143,6 +201,49 @@ def test_url_filter(spark):
     assert url_filter.url_report(captures.limit(0)).collect() == []
 
 
+def test_very_long_urls(spark):
+    long = "http://" + "a." * 30_000 + "bad.com/" + "s/" * 30_000
+    rows = [(1, long), (2, "http://ok.org/a/b/" + "x" * 100_000), (3, "http://" + "a" * 50_000), (4, "http://h.org" + "/" * 50_000)]
+    captures = spark.createDataFrame(rows, "page_id long, url string")
+    listed = [("bad.com", "add"), ("ok.org/a/b/", "add"), ("ok.org/", "add"), ("h.org///", "add"), ("q" * 300 + ".org", "add"), ("k.org/" + "s/" * 40, "add")]
+    entries = spark.createDataFrame(listed, "pattern string, action string").selectExpr("*", "date'2023-01-01' as day")
+    got = {r.page_id: r.pattern for r in url_filter.filter_urls(captures, entries).collect()}
+    assert got == {1: "bad.com", 2: "ok.org/a/b/", 3: None, 4: "h.org///"}
+    assert url_filter.filter_urls(captures, entries.limit(0)).where("blocked").isEmpty()
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Cluster)
+
+
+def test_mix_against_brute_force(spark, odd_docs, odd_rows):
+    """Copies of each row: whole passes, and the longest prefix in the order of a pass that fits the rest."""
+    leaf = lambda r: (["web", "books", "code"][int((re.search("[0-9]{1,9}$", r[3] or "") or [0])[0]) % 3], r[2] or "", r[3] or "")
+    tokens = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    leaves = defaultdict(list)
+    for r in odd_rows:
+        leaves[leaf(r)].append(r)
+    table = spark.createDataFrame([(*k, sum(map(tokens, rows)), len(rows)) for k, rows in leaves.items()], "domain string, lang string, source string, tokens long, docs long")
+    expected = Counter()
+    for p in mixing.share_budget(table, mixing.WEIGHTS, mixing.BUDGET_PERCENT, mixing.MAX_EPOCHS).collect():
+        order = defaultdict(list)
+        for r in leaves[p.domain, p.lang, p.source]:
+            order[hashlib.md5(f"{mixing.SEED}:{p.passes}:{'' if r[0] is None else r[0]}".encode()).hexdigest()].append(r)
+        used, fits = 0, True
+        for _, rows in sorted(order.items()):
+            used += sum(map(tokens, rows))
+            fits = fits and p.rest > 0 and used <= p.rest
+            for r in rows:
+                expected[r[0], r[1], p.passes + fits] += 1
+    got = Counter((r.doc_id, r.text, r.copies) for r in mixing.mix(odd_docs).collect())
+    assert got == Counter({k: n for k, n in expected.items() if k[2]})
+
+
 def test_pipeline(spark):
     stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -102,3 +102,11 @@ def split_level(scratch: Scratch, state: DataFrame, width: int, level: int) -> D
     )
     scratch.drop(f"groups{level}")
     return out
+
+
+def exact_sql() -> str:
+    """The same in DuckDB, for ids that don't repeat."""
+    return """
+with rows as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(body) as text_sha256
+from rows window same as (partition by body)"""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from weftline.llm.chat_format import conversations, link_quotes
 from weftline.llm.decontaminate import edit_hits
-from weftline.llm.exact_dedup import exact_groups
+from weftline.llm.exact_dedup import exact_groups, exact_sql
 from weftline.llm.language_id import identify
 from weftline.llm.line_dedup import line_report, line_sql
 from weftline.llm.mixing import mix_report, mix_sql
-from weftline.llm.secret_scan import secret_report
+from weftline.llm.secret_scan import secret_report, secret_sql
 from weftline.llm.sharding import shard_report
 from weftline.llm.simhash_dedup import hex_digits, near_components
 from weftline.llm.url_filter import url_report, url_sql
@@ -76,4 +76,10 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_url_filter": url_sql(), "op4_line_dedup": line_sql(), "op5_mixing": mix_sql()}
+    return {
+        "op1_url_filter": url_sql(),
+        "op4_line_dedup": line_sql(),
+        "op5_mixing": mix_sql(),
+        "op7_secret_scan": secret_sql(),
+        "op10_exact_dedup": exact_sql(),
+    }

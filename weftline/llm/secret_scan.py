@@ -152,3 +152,40 @@ def secret_report(docs: DataFrame) -> DataFrame:
         listed(F.concat("base", "linked")).alias("spans"),
         F.size("linked").cast("long").alias("n_linked"),
     )
+
+
+def secret_sql() -> str:
+    """The same in DuckDB, for ids that don't repeat."""
+    found = " union all ".join(
+        f"select doc_id, '{kind}' as kind, {rank} as rank, unnest(string_split_regex(body, '{p}')) as gap, "
+        f"unnest(list_append(regexp_extract_all(body, '{p}'), null)) as piece, generate_subscripts(string_split_regex(body, '{p}'), 1) as nth from rows"
+        for rank, (kind, p) in enumerate((k, p.replace("'", "''")) for k, p in PATTERNS.items())
+    )
+    assign = PATTERNS["assign"].replace("'", "''")
+    role = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in ROLES.items()) + " end"
+    needs = ", ".join(f"('{k}', '{r}', {len(v)})" for k, v in NEEDS.items() for r in v)
+    base = ", ".join(f"'{k}'" for k in BASE)
+    listed = "coalesce(string_agg(concat_ws(':', kind, start, stop), ',' order by start, rank){}, '')"
+    return f"""
+with rows as (select doc_id, coalesce(text, '') as body from documents),
+found as ({found}),
+placed as (
+  select *, sum(length(gap) + coalesce(length(piece), 0)) over (partition by doc_id, kind order by nth) as stop from found),
+spans as (
+  select doc_id, kind, rank, (stop - length(piece))::int as start, stop::int as stop from placed
+  where piece is not null and (kind != 'assign' or length(regexp_extract(piece, '{assign}', 2)) >= 12)
+    and (kind != 'blob' or (regexp_matches(piece, '[0-9]') and regexp_matches(piece, '[A-Za-z]')))),
+clear as (
+  select * from spans s where kind != 'blob'
+    or not exists (select 1 from spans o where o.doc_id = s.doc_id and o.kind != 'blob' and o.start < s.stop and s.start < o.stop)),
+needs(kind, role, roles) as (values {needs}),
+met as (
+  select s.doc_id, s.kind, s.rank, s.start, s.stop from clear s join needs n on s.kind = n.kind
+    join (select *, {role} as role from clear) o on o.doc_id = s.doc_id and o.role = n.role
+      and (o.stop between s.start - {SCOPE} and s.start or o.start between s.stop and s.stop + {SCOPE})
+  group by s.doc_id, s.kind, s.rank, s.start, s.stop, n.roles having count(distinct n.role) = n.roles),
+reported as (
+  select doc_id, kind, rank, start, stop, false as weak from clear where kind in ({base}) union all select *, true from met)
+select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  sha256({listed.format(" filter (not weak)")}) as base_sha256, {listed.format("")} as spans, count(*) filter (weak) as n_linked
+from rows left join reported using (doc_id) group by doc_id"""
