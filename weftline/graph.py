@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import replace
 from typing import Any
@@ -17,18 +18,31 @@ from weftline.operators.changes import Changer, Conflict, Result
 from weftline.plans.catalog import Catalog
 from weftline.plans.elements import Select
 from weftline.plans.shape import Shaper
+from weftline.sources.folder import Folder
 from weftline.sources.store import Binding, Store
 
 
 class Graph:
-    """Queries return lazy DataFrames; changes replace the store's tables when they have worked as a whole."""
+    """Queries return lazy DataFrames; changes replace the store's tables when they have worked as a whole.
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, module: str = "default", context: policies.Context | None = None):
+    With a ``folder`` each change is written there as a version, and a graph opened on it later has the latest one.
+    Dates and times are those of UTC, which the session must have as its time zone.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: Catalog, module: str = "default", context: policies.Context | None = None, folder: str | None = None):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.catalog, self.module = spark, catalog, module
         self.context = context or policies.Context()
         self.store = Store(spark, catalog)
-        self.version, self.history = 0, []
+        self.version, self.history, self.batches = 0, [], {}
+        self.kept = Folder(spark, folder) if folder else None
+        if self.kept and self.kept.versions():
+            self.version, self.history, self.batches = self.kept.load(self.store)
+
+    def saved(self) -> None:
+        """Write what has changed as the next version, if the graph has a folder."""
+        if self.kept:
+            self.kept.save(self.store, self.version, self.history, self.batches)
 
     def shaper(self, store: Store | None = None, seen: bool = True) -> Shaper:
         shaper = Shaper(store or self.store, self.module, run=self)
@@ -44,7 +58,7 @@ class Graph:
 
     def in_module(self, module: str) -> Graph:
         out = Graph(self.spark, self.catalog, module, self.context)
-        out.store, out.version, out.history = self.store, self.version, self.history
+        out.store, out.version, out.history, out.batches, out.kept = self.store, self.version, self.history, self.batches, self.kept
         return out
 
     def register(self, name: str, binding: Binding) -> None:
@@ -63,10 +77,10 @@ class Graph:
         shaper = self.shaper()
         df, columns = self.spark.range(1), []
         for name, value in entries.items():
-            if isinstance(value, Select):
-                df, column = shaper.constant(df, shaper.gathered(value))
+            got = value if isinstance(value, Select) else shaper.expression(value)
+            if isinstance(got, Select):
+                df, column = shaper.constant(df, shaper.gathered(got))
             else:
-                got = shaper.expression(value)
                 column = getattr(got, "col", got)
             columns.append(column.alias(name) if hasattr(column, "alias") else F.lit(column).alias(name))
         return df.select(*columns)
@@ -102,14 +116,13 @@ class Graph:
         return self._changed(lambda c: c.delete(type_name, where))
 
     def for_each(self, values: Iterable[Any], insert: Callable[[Any], tuple[str, Mapping[str, Any]]]) -> Result:
-        return changes.for_each(values, lambda v: self.insert(*insert(v)))
+        return changes.for_each(self, values, insert)
 
     def insert_rows(self, type_name: str, rows: DataFrame) -> None:
         changes.insert_rows(self, type_name, rows)
 
 
 _STRICT = {
-    "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}",
     "datetime": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})",
     "local_datetime": r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?",
     "local_date": r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])",
@@ -120,6 +133,15 @@ _STRICT = {
 }
 
 
+def _is_uuid(value: Any) -> bool:
+    """Whether a text is a UUID of versions 1 to 5, written with its hyphens."""
+    try:
+        read = uuid.UUID(value)
+    except (AttributeError, TypeError, ValueError):
+        return False
+    return str(read) == value.lower() and read.variant == uuid.RFC_4122 and read.version in range(1, 6)
+
+
 def parameter(kind: str, name: str, values: Mapping[str, Any]) -> Any:
     """A query parameter, checked strictly against its type."""
     if name not in values:
@@ -131,6 +153,8 @@ def parameter(kind: str, name: str, values: Mapping[str, Any]) -> Any:
         "int": lambda v: isinstance(v, int) and not isinstance(v, bool),
         "float": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool),
     }.get({"int16": "int", "int32": "int", "int64": "int", "float32": "float", "float64": "float"}.get(short, short))
+    if short == "uuid":
+        fits = _is_uuid
     if fits is None:
         fits = lambda v: isinstance(v, str) and re.fullmatch(_STRICT.get(short, "(?!)"), v) is not None
     if not fits(value):

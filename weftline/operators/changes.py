@@ -1,14 +1,17 @@
 """Inserts, updates and deletes as new versions of a type's tables.
 
 A change builds the next tables as plans over the ones before and puts them in place at its end, so that a change that
-fails leaves nothing behind. Rewrites are columns of the new rows; triggers insert rows made from the changed ones.
-Ids of rows that triggers insert are hashes of what caused them, so that evaluating a plan again gives the same rows.
+fails leaves nothing behind. An update is one projection of the table; rewrites are columns of the new rows, beside the
+old ones; triggers insert rows made from the changed ones. Ids of rows that triggers or tables insert are hashes of the
+change, which has a random id of its own, and of what caused them: evaluating a plan again gives the same rows, and no
+other change, session or caller gives the same ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from typing import Any
 
@@ -56,38 +59,46 @@ class Changer:
         policies.may_modify(self.context)
         self.shaper = graph.shaper(self.store, seen=False)
         self.shaper.changing = True
-        self.version = graph.version + 1
+        self.version, self.change = graph.version + 1, new_id()
 
     def commit(self) -> None:
         self.graph.store, self.graph.version = self.store, self.version
+        self.graph.saved()
 
     # insert
 
     def insert(self, type_name: str, values: Mapping[str, Any], conflict: Conflict | None = None) -> Result:
         name = self.catalog.resolve(type_name, self.graph.module)
-        scalars, links = self.checked(name, values)
-        if conflict and (done := self.on_conflict(name, scalars, conflict)):
+        if conflict and (done := self.on_conflict(name, self.checked(name, values)[0], conflict)):
             return done
-        id = new_id()
-        inline: dict[str, str | None] = {}
-        tables: dict[str, list[str]] = {}
-        for link, value in links.items():
-            ids = self.ids_of(self.catalog.links(name)[link], value)
-            if isinstance(self.store.managed(name).links[link], LinkTable):
-                tables[link] = ids
-            else:
-                inline[f"{link}_id"] = ids[0] if ids else None
+        return self.insert_all(type_name, [values])
+
+    def insert_all(self, type_name: str, many: Iterable[Mapping[str, Any]]) -> Result:
+        """Objects of one type, in one append to its table and to each of its link tables."""
+        name = self.catalog.resolve(type_name, self.graph.module)
+        rows, id = [], None
+        tables: dict[str, list[DataFrame]] = {}
+        for values in many:
+            scalars, links = self.checked(name, values)
+            id, inline = new_id(), {}
+            for link, value in links.items():
+                targets = self.targets(self.catalog.links(name)[link], value)
+                if isinstance(self.store.managed(name).links[link], LinkTable):
+                    tables.setdefault(link, []).append(targets.select(F.lit(id).alias("source"), "target"))
+                else:
+                    first = targets.first()
+                    inline[f"{link}_id"] = first and first[0]
+            rows.append({"id": id} | scalars | inline)
         before = self.store.managed(name).table
-        row = {"id": id} | scalars | inline
         kinds = {f.name: f.dataType.simpleString() for f in before.schema}
-        made = self.graph.spark.createDataFrame([tuple(row.get(c) for c in kinds)], ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+        made = self.graph.spark.createDataFrame([tuple(r.get(c) for c in kinds) for r in rows], ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
         made = self.rewritten(name, made, "insert")
-        policies.check(self.catalog, self.shaper, self.context, name, "insert", made.withColumn("_type", F.lit(name)).withColumn("_k", F.col("id")).withColumn("_id", F.col("id")))
-        self.store.replace_table(name, before.unionByName(made))
-        for link, ids in tables.items():
-            self.store.add_links(name, link, self.graph.spark.createDataFrame([(id, t) for t in ids], "source string, target string"))
-        self.fire(name, "insert", None, made)
-        return Result("insert", 1, id)
+        policies.check(self.catalog, self.shaper, self.context, name, "insert", self.framed(made, name))
+        self.store.replace_table(name, before.unionByName(made.select(*before.columns)))
+        for link, links in tables.items():
+            self.store.add_links(name, link, reduce(DataFrame.unionByName, links).distinct())
+        self.fire(name, "insert", made.select("id", F.lit(None).alias("_old"), F.struct(*before.columns).alias("_new")))
+        return Result("insert", len(rows), id)
 
     def checked(self, name: str, values: Mapping[str, Any]) -> tuple[dict[str, Any], dict[str, Any]]:
         """The values of properties and of links, by name, after all checks that need no data."""
@@ -115,24 +126,36 @@ class Changer:
                 raise semantic(f"missing value for required '{m.name}' of '{name}'")
         return scalars, links
 
-    def ids_of(self, link: Link, value: Any) -> list[str]:
-        """The ids that a link's value stands for, each of them an object of the target type."""
+    def targets(self, link: Link, value: Any) -> DataFrame:
+        """The ids (``target``) that a link's value stands for, each of an object of the target type.
+
+        The ids of a query are never brought to the driver; ids that are given are looked up together.
+        """
         target = self.catalog.resolve(link.target, self.graph.module)
-        if value is None:
-            return []
-        if isinstance(value, Insert):
-            return [self.insert(value.type, value.values).id]
-        if isinstance(value, Select):
-            return [r[0] for r in self.graph.shaper(self.store).select(Select(value.type, ("id",), value.where, value.order_by or "id", value.desc, value.offset, value.limit)).collect()]
-        if isinstance(value, (list, tuple, set)):
-            return [i for v in value for i in self.ids_of(link, v)]
-        found = self.store.with_id(value, target)
-        if not found:
-            elsewhere = next((n for n in self.catalog.types if not self.catalog.types[n].abstract and self.store.with_id(value, n)), None)
+        given: list[str] = []
+        queries: list[DataFrame] = []
+
+        def take(v: Any) -> None:
+            if isinstance(v, Insert):
+                given.append(self.insert(v.type, v.values).id)
+            elif isinstance(v, Select):
+                found = self.graph.shaper(self.store).select(Select(v.type, ("id",), v.where, v.order_by or "id", v.desc, v.offset, v.limit))
+                queries.append(found.toDF("target"))
+            elif isinstance(v, (list, tuple, set)):
+                for x in v:
+                    take(x)
+            elif v is not None:
+                given.append(v)
+
+        take(value)
+        missing = set(given) - self.store.existing(given, target)
+        for id in (v for v in given if v in missing):
+            elsewhere = next((n for n in self.catalog.types if not self.catalog.types[n].abstract and self.store.existing([id], n)), None)
             if elsewhere:
                 raise semantic(f"link '{link.name}' expected '{target}', got '{elsewhere}'")
-            raise semantic(f"'{value}' does not reference an existing object of '{target}'")
-        return [value]
+            raise semantic(f"'{id}' does not reference an existing object of '{target}'")
+        literal = self.graph.spark.createDataFrame([(v,) for v in given], "target string")
+        return reduce(DataFrame.unionByName, [literal, *queries])
 
     def on_conflict(self, name: str, scalars: Mapping[str, Any], conflict: Conflict) -> Result | None:
         on = conflict.on or next((f for f in ("name", "title") if f in self.catalog.properties(name)), None)
@@ -163,16 +186,17 @@ class Changer:
         for key, value in values.items():
             self.shaper.check_value(self.shaper.member(name, key), value)
         table = self.store.managed(name).table
-        framed = self.framed(table, name).withColumn("_hit", hit)
-        before = framed.where("_hit").drop("_hit")
         kinds = {f.name: f.dataType for f in table.schema}
-        after = before.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in values.items()})
-        after = self.rewritten(name, after, "update", {c: F.col(f"_old_{c}") for c in table.columns}, before)
-        policies.check(self.catalog, self.shaper, self.context, name, "update_read", before)
+        framed = self.framed(table, name)
+        both = framed.withColumns({"_hit": hit, "_old": F.struct(*table.columns)})
+        both = self.rewritten(name, both.withColumns({k: F.lit(v).cast(kinds[k]) for k, v in values.items()}), "update", True)
+        touched = {*values, *(r.name for r in self.rewrites(name, "update"))}
+        after = both.where("_hit")
+        policies.check(self.catalog, self.shaper, self.context, name, "update_read", framed.where(hit))
         policies.check(self.catalog, self.shaper, self.context, name, "update_write", after)
-        self.store.replace_table(name, framed.where("not _hit").select(*table.columns).unionByName(after.select(*table.columns)))
-        self.fire(name, "update", before, after)
-        return Result(kind, before.count())
+        self.store.updated(name, both.select(*[F.when(F.col("_hit"), F.col(c)).otherwise(F.col("_old")[c]).alias(c) if c in touched else F.col(c) for c in table.columns]))
+        self.fire(name, "update", after.select("id", "_old", F.struct(*table.columns).alias("_new")))
+        return Result(kind, framed.where(hit).count())
 
     def delete(self, type_name: str, where: Predicate | None) -> Result:
         name = self.catalog.resolve(type_name, self.graph.module)
@@ -181,58 +205,51 @@ class Changer:
         gone = framed.where("_hit").drop("_hit")
         policies.check(self.catalog, self.shaper, self.context, name, "delete", gone)
         self.store.replace_table(name, framed.where("not _hit").select(*table.columns))
-        self.fire(name, "delete", gone, None)
+        self.fire(name, "delete", gone.select("id", F.struct(*table.columns).alias("_old"), F.lit(None).alias("_new")))
         return Result("delete", gone.count())
 
     # behaviours
 
-    def rewritten(self, name: str, rows: DataFrame, event: str, before: Mapping[str, Column] | None = None, old_rows: DataFrame | None = None) -> DataFrame:
-        rewrites: list[Rewrite] = [r for r in self.catalog.collected(name, "rewrites") if event in r.events]
-        if not rewrites:
-            return rows
-        uses_old = old_rows is not None and any(isinstance(r.value, old) for r in rewrites)
-        if uses_old:
-            rows = rows.join(old_rows.select(F.col("id"), *[F.col(c).alias(f"_old_{c}") for c in before]), "id")
+    def rewrites(self, name: str, event: str) -> list[Rewrite]:
+        return [r for r in self.catalog.collected(name, "rewrites") if event in r.events]
+
+    def rewritten(self, name: str, rows: DataFrame, event: str, paired: bool = False) -> DataFrame:
+        """New rows after an event's rewrites; ``paired`` rows have what they were before in ``_old``."""
         kinds = {f.name: f.dataType for f in rows.schema}
 
         def value(v: Any) -> Column:
             if isinstance(v, new):
                 return F.col(v.name)
             if isinstance(v, old):
-                return before[v.name] if uses_old else F.lit(None)
+                return F.col("_old")[v.name] if paired else F.lit(None)
             if isinstance(v, Call):
                 return std_call(v.function, []).col
             return F.lit(v)
 
-        rows = rows.withColumns({r.name: value(r.value).cast(kinds[r.name]) for r in rewrites})
-        return rows.drop(*[f"_old_{c}" for c in before]) if uses_old else rows
+        changed = {r.name: value(r.value).cast(kinds[r.name]) for r in self.rewrites(name, event)}
+        return rows.withColumns(changed) if changed else rows
 
-    def fire(self, name: str, event: str, before: DataFrame | None, after: DataFrame | None) -> None:
-        """Insert the rows of all triggers of an event, from the rows before and after it."""
+    def fire(self, name: str, event: str, rows: DataFrame) -> None:
+        """Insert the rows of all triggers of an event, from rows (id, _old, _new): what objects were and are, or null."""
         for t in self.catalog.collected(name, "triggers"):
             if t.event != event:
                 continue
-            rows = after if after is not None else before
-            rows = rows.select(F.col("id"), F.struct("*").alias("_new"), F.struct("*").alias("_old")) if before is None or after is None else (
-                after.select("id", F.struct("*").alias("_new")).join(before.select("id", F.struct("*").alias("_old")), "id")
-            )
-            if t.when_changed:
-                rows = rows.where(~F.col("_old")[t.when_changed].eqNullSafe(F.col("_new")[t.when_changed]))
+            at = {f.name: f.dataType.typeName() != "void" for f in rows.schema}
+            hit = rows
+            if t.when_changed and at["_old"] and at["_new"]:
+                hit = rows.where(~F.col("_old")[t.when_changed].eqNullSafe(F.col("_new")[t.when_changed]))
             target = self.catalog.resolve(t.target, self.graph.module)
             table = self.store.managed(target).table
             kinds = {f.name: f.dataType for f in table.schema}
 
             def value(v: Any) -> Column:
-                if isinstance(v, new):
-                    return F.lit(None) if after is None else F.col("_new")[v.name]
-                if isinstance(v, old):
-                    return F.lit(None) if before is None else F.col("_old")[v.name]
-                return F.lit(v)
+                side = "_new" if isinstance(v, new) else "_old" if isinstance(v, old) else None
+                return F.lit(v) if side is None else F.col(side)[v.name] if at[side] else F.lit(None)
 
-            made = {"id": F.md5(F.concat_ws(":", F.lit(t.name), F.lit(str(self.version)), F.col("id")))} | {k: value(v) for k, v in t.values.items()}
+            made = {"id": F.md5(F.concat_ws(":", F.lit(t.name), F.lit(self.change), F.col("id")))} | {k: value(v) for k, v in t.values.items()}
             if unknown := set(made) - set(kinds):
                 raise semantic(f"trigger '{t.name}' sets {sorted(unknown)}, which '{target}' does not have")
-            fresh = rows.select(*[made.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+            fresh = hit.select(*[made.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
             self.store.replace_table(target, table.unionByName(self.rewritten(target, fresh, "insert")))
 
 
@@ -241,27 +258,33 @@ def combinations(values: Iterable[Iterable[str]]) -> list[str]:
     return ["".join(v) for v in product(*values)]
 
 
-def for_each(values: Iterable[Any], insert: Callable[[Any], Result]) -> Result:
-    """One insert for each value, each a change of its own."""
-    done = [insert(v) for v in values]
+def for_each(graph: Any, values: Iterable[Any], insert: Callable[[Any], tuple[str, Mapping[str, Any]]]) -> Result:
+    """An insert for each value, all in one change, with one append to the table of each type."""
+    change = Changer(graph)
+    by_type: dict[str, list[Mapping[str, Any]]] = {}
+    for v in values:
+        name, row = insert(v)
+        by_type.setdefault(name, []).append(row)
+    done = [change.insert_all(name, rows) for name, rows in by_type.items()]
+    change.commit()
     return Result("for", sum(r.changes for r in done))
 
 
 def insert_rows(graph: Any, type_name: str, rows: DataFrame) -> None:
-    """Append many rows at once: columns are properties and ``<link>_id``; ids are hashes of version and row place.
+    """Append many rows at once: columns are properties and ``<link>_id``; ids are hashes of the change and a row's place.
 
-    The rows should be a written table: they are part of the type's plan from now on.
+    The rows are part of the type's plan from now on: write them first if their order is not the same each time.
     """
     change = Changer(graph)
     name = change.catalog.resolve(type_name, graph.module)
     table = change.store.managed(name).table
     if unknown := set(rows.columns) - set(table.columns):
         raise semantic(f"'{qualified(name)}' has no {sorted(unknown)}")
-    id = F.md5(F.concat_ws(":", F.lit(name), F.lit(str(change.version)), F.monotonically_increasing_id().cast("string")))
+    id = F.md5(F.concat_ws(":", F.lit(name), F.lit(change.change), F.monotonically_increasing_id().cast("string")))
     made = rows.withColumn("id", id) if "id" not in rows.columns else rows
     made = made.select(*[(F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
     made = change.rewritten(name, made, "insert")
     policies.check(change.catalog, change.shaper, change.context, name, "insert", change.framed(made, name))
     change.store.replace_table(name, table.unionByName(made))
-    change.fire(name, "insert", None, made)
+    change.fire(name, "insert", made.select("id", F.lit(None).alias("_old"), F.struct(*table.columns).alias("_new")))
     change.commit()

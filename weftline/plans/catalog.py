@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -30,6 +30,14 @@ SPELLINGS = {"bytes": "str", "int16": "int", "int32": "int", "int64": "int", "bi
 OPERATIONS = ("select", "insert", "update_read", "update_write", "delete")
 
 
+@dataclass(frozen=True)
+class Constraint:
+    """What is declared of a property's values, such as exclusive; it is described, not enforced."""
+
+    name: str
+    annotations: Mapping[str, str] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Property:
     name: str
@@ -38,6 +46,7 @@ class Property:
     multi: bool = False
     annotations: Mapping[str, str] = field(default_factory=dict)
     overloaded: bool = False
+    constraints: tuple[Constraint, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -107,7 +116,12 @@ class Rewrite:
 
 @dataclass(frozen=True)
 class UserFunction:
-    """``body`` takes the arguments: expressions of elements make a column, a function of the graph runs a query."""
+    """``body`` takes the arguments: expressions of elements make a column; with ``query`` or ``modifying`` it is a function
+    of the graph, which runs a query, and of the arguments.
+
+    ``named`` parameters are only given by name. Parameters in ``defaults`` or ``optional`` may be left out: they get
+    their default, or null. What is given beyond ``params`` goes to ``variadic``.
+    """
 
     name: str
     params: tuple[str, ...]
@@ -116,6 +130,25 @@ class UserFunction:
     optional: tuple[str, ...] = ()
     variadic: str | None = None
     modifying: bool = False
+    query: bool = False
+    named: tuple[str, ...] = ()
+    defaults: Mapping[str, Any] = field(default_factory=dict)
+
+    def bound(self, args: Sequence[Any], named: Mapping[str, Any]) -> list[tuple[str, Any]] | None:
+        """The parameters with what is given for them, or None if the arguments do not fit."""
+        places = [p for p in self.params if p not in self.named]
+        if len(args) > len(places) and not self.variadic:
+            return None
+        given = dict(zip(places, args, strict=False))
+        if set(named) & set(given) or not set(named) <= set(self.params):
+            return None
+        given |= named
+        out = []
+        for p in self.params:
+            if p not in given and p not in self.defaults and p not in self.optional:
+                return None
+            out.append((p, given.get(p, self.defaults.get(p))))
+        return out + [(self.variadic, v) for v in args[len(places) :]]
 
 
 @dataclass(frozen=True)
@@ -248,12 +281,12 @@ class Catalog:
             return "string"
         raise semantic(f"unknown scalar type '{kind}'")
 
-    def function(self, name: str, arity: int, module: str = "default") -> UserFunction | None:
+    def function(self, name: str, args: Sequence[Any], named: Mapping[str, Any], module: str = "default") -> tuple[UserFunction, list[tuple[str, Any]]] | None:
+        """The first function of that name that takes the arguments, with its parameters bound to them."""
         head, _, tail = name.rpartition("::")
         for f in self.functions:
-            fits = len(f.params) - len(f.optional) <= arity and (f.variadic or arity <= len(f.params))
-            if f.name == tail and f.module == (head or module) and fits:
-                return f
+            if f.name == tail and f.module == (head or module) and (bound := f.bound(args, named)) is not None:
+                return f, bound
         return None
 
 

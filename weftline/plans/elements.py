@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from weftline.functions.predicates import Predicate
@@ -50,8 +51,11 @@ class Concat:
 
 @dataclass(frozen=True)
 class Call:
+    """A function of arguments by place and by name."""
+
     function: str
     args: tuple = ()
+    named: Mapping[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -72,10 +76,13 @@ class Member:
 
 @dataclass(frozen=True)
 class Back:
-    """The objects that link to the row: an array of ``{id, __type__}`` in the order of type and id."""
+    """The objects that link to the row: an array of ``{id, __type__}`` in the order of type and id, the first ``limit`` of
+    them, or with ``count`` how many there are. Where very many objects link to one, only the last two are small."""
 
     link: str
     source: str | None = None
+    limit: int | None = None
+    count: bool = False
 
 
 @dataclass(frozen=True)

@@ -23,6 +23,10 @@ from weftline.plans.elements import All, As, Back, Call, Cast, Concat, IfType, L
 from weftline.sources.store import Store
 
 
+#: Rows of a subquery that may be gathered in one array beside other rows.
+MOST_GATHERED = 100_000
+
+
 class Shaper:
     """Lowers queries against a store; ``visible(type)`` is the condition of the select policies, or None."""
 
@@ -265,21 +269,26 @@ class Shaper:
             value = F.col("_id") if v.name == "id" else F.col(v.name)
             self.property(of, v.name)
             return df, F.when(F.col("_type") == of, value)
-        return df, self.expression(v, lambda field: self.property(name, field), name).col
+        got = self.expression(v, lambda field: self.property(name, field), name)
+        return self.constant(df, self.gathered(got)) if isinstance(got, Select) else (df, got.col)
 
     def gathered(self, q: Select) -> DataFrame:
-        """A query's rows as one row with an ordered array of structs."""
+        """A query's rows as one row with an ordered array of structs; an error beyond ``MOST_GATHERED`` rows.
+
+        The first rows are taken where they are, so no task or broadcast holds more than that and one, whatever the
+        query finds.
+        """
         df, outs, order = self.lowered(q)
-        item = F.struct(*[c.alias(n) for n, c in outs])
-        if not order:
-            return df.agg(F.collect_list(F.struct(F.col("_id").alias("_id"), item.alias("item"))).alias("all")).select(
-                F.transform(F.sort_array("all"), lambda x: x["item"]).alias("items")
-            )
-        place = F.row_number().over(Window.orderBy(*order)).alias("place")
-        return df.select(place, item.alias("item")).agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("all")).select(F.transform("all", lambda x: x["item"]).alias("items"))
+        keys = ["_by", "_id"] if order else ["_id"]
+        first = df.orderBy(*(order or ["_id"])).select(*keys, F.struct(*[c.alias(n) for n, c in outs]).alias("item")).limit(MOST_GATHERED + 1)
+        place = F.row_number().over(Window.orderBy(*(order or ["_id"]))).alias("place")
+        many = F.sort_array(F.collect_list(F.struct("place", "item")))
+        all_of = first.select(place, "item").agg(many.alias("all"))
+        too_many = F.raise_error(F.lit(f"a subquery that is gathered may have {MOST_GATHERED} rows at most; give it a limit"))
+        return all_of.select(F.when(F.size("all") > MOST_GATHERED, too_many).otherwise(F.transform("all", lambda x: x["item"])).alias("items"))
 
     def constant(self, df: DataFrame, one: DataFrame) -> tuple[DataFrame, Column]:
-        """A one-row result beside every row."""
+        """A result of one row, of bounded size, beside every row."""
         n = self.fresh()
         return df.crossJoin(F.broadcast(one.toDF(n))), F.col(n)
 
@@ -360,7 +369,13 @@ class Shaper:
             p.rows.select(F.col("_tk" if by_key else "_tid").alias(f"{n}j"), F.struct(F.lit(s).alias("type"), F.col("_sid").alias("id")).alias("at"))
             for s, p, _ in found
         ]
-        listed = reduce(DataFrame.unionByName, rows).groupBy(f"{n}j").agg(F.sort_array(F.collect_set("at")).alias("all"))
+        found = reduce(DataFrame.unionByName, rows).distinct() if e.count or e.limit is not None else reduce(DataFrame.unionByName, rows)
+        if e.count:
+            counted = found.groupBy(f"{n}j").agg(F.count("*").alias(n))
+            return df.join(counted, F.col("_k" if by_key else "_id") == F.col(f"{n}j"), "left"), F.coalesce(F.col(n), F.lit(0).cast("long"))
+        if e.limit is not None:
+            found = found.withColumn("place", F.row_number().over(Window.partitionBy(f"{n}j").orderBy("at"))).where(F.col("place") <= e.limit)
+        listed = found.groupBy(f"{n}j").agg(F.sort_array(F.collect_set("at")).alias("all"))
         items = F.transform("all", lambda x: F.struct(x["id"].alias("id"), x["type"].alias("__type__")))
         listed = listed.select(f"{n}j", items.alias(n))
         df = df.join(listed, F.col("_k" if by_key else "_id") == F.col(f"{n}j"), "left")
@@ -452,19 +467,27 @@ class Shaper:
         raise semantic(f"cannot cast to '{v.type}' here")
 
     def call(self, v: Call, ref: Callable | None, name: str | None) -> Value:
-        args = [self.expression(a, ref, name) for a in v.args]
-        user = self.catalog.function(v.function, len(args), self.module)
+        user = self.catalog.function(v.function, v.args, v.named, self.module)
         if not user:
-            return stdlib.call(v.function, args, self.module)
-        if user.modifying:
-            for given, raw in zip(args, v.args, strict=True):
+            if v.named:
+                raise semantic(f"function '{v.function}' has no such parameters")
+            return stdlib.call(v.function, [self.expression(a, ref, name) for a in v.args], self.module)
+        f, bound = user
+        if f.modifying:
+            for param, raw in bound:
                 if isinstance(raw, Many) and len(raw.values) > 1:
-                    raise semantic("possibly more than one element passed into a modifying function")
-                if isinstance(raw, Many) and not raw.values and given:
-                    raise semantic("possibly an empty set passed as non-optional argument into a modifying function")
-            return user.body(self.run, *[a.value if isinstance(a, Lit) else a for a in v.args])
-        fill = [Value(F.lit(None).cast("string"))] * max(0, len(user.params) - len(args))
-        return self._elementwise(args + fill, lambda *cols: self.expression(user.body(*[Value(c) for c in cols])).one, product=False)
+                    raise semantic("possibly more than one element passed into modifying function")
+                if isinstance(raw, Many) and not raw.values and param not in f.optional:
+                    raise semantic("possibly an empty set passed as non-optional argument into modifying function")
+            bound = [(param, (*raw.values, None)[0] if isinstance(raw, Many) else raw) for param, raw in bound]
+        if f.modifying or f.query:
+            return self.answer(f.body(self.run, *[raw.value if isinstance(raw, Lit) else raw for _, raw in bound]))
+        args = [self.expression(raw, ref, name) if raw is not None else Value(F.lit(None).cast("string")) for _, raw in bound]
+        return self._elementwise(args, lambda *cols: self.expression(f.body(*[Value(c) for c in cols])).one, product=False)
+
+    def answer(self, found: Any) -> Any:
+        """What a function that runs a query returns: a query stands for the set of its rows, anything else for itself."""
+        return Value(F.lit(found)) if isinstance(found, (str, int, float, bool)) or found is None else found
 
 
 def _conjuncts(p: Predicate) -> list[Predicate]:

@@ -9,7 +9,7 @@ from weftline.functions.predicates import field
 from weftline.functions.stdlib import ISO
 from weftline.graph import Graph
 from weftline.plans.catalog import Catalog, Computed, Link, ObjectType, Policy, Property, UserFunction
-from weftline.plans.elements import Back, Concat, Lit, Ref, To
+from weftline.plans.elements import Back, Concat, Lit, Ref, Select, To
 from weftline.sources.store import Binding, LinkTable
 
 
@@ -52,7 +52,11 @@ def catalog() -> Catalog:
         _type("Label", Property("quality", "int"), Property("toxic", "int"), Link("document", "shop::Document")),
         _type("Log", *_text("action", "target_name", "change")),
         enums={"shop::Status": ("F", "O", "P"), "shop::Color": ("RED", "GREEN", "BLUE")},
-        functions=(UserFunction("exclaim", ("word",), lambda word: Concat((word, Lit("!"))), "shop"),),
+        functions=(
+            UserFunction("exclaim", ("word",), lambda word: Concat((word, Lit("!"))), "shop"),
+            UserFunction("mark", ("word", "after", "before"), lambda word, after, before: Concat((before, word, after)), "shop", named=("before",), defaults={"after": Lit("!"), "before": Lit("")}),
+            UserFunction("nations_like", ("pattern",), lambda g, pattern: Select("Nation", ("name",), where=field("name").like(pattern), order_by="name"), "shop", query=True),
+        ),
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,10 @@ from weftline.errors import semantic
 from weftline.plans.catalog import Catalog, qualified
 
 
+#: Updates of a type after which its table is written.
+UPDATES_BEFORE_WRITING = 4
+
+
 @dataclass(frozen=True)
 class LinkTable:
     """A link stored apart from its objects: the columns of source and target keys, and of link properties."""
@@ -51,10 +56,12 @@ class Store:
     def __init__(self, spark: SparkSession, catalog: Catalog):
         self.spark, self.catalog = spark, catalog
         self.bindings: dict[str, Binding] = {}
+        #: Updates of each type since its table was last written.
+        self.updates: dict[str, int] = {}
 
     def copy(self) -> Store:
         out = Store(self.spark, self.catalog)
-        out.bindings = dict(self.bindings)
+        out.bindings, out.updates = dict(self.bindings), dict(self.updates)
         return out
 
     def register(self, name: str, binding: Binding) -> None:
@@ -168,6 +175,19 @@ class Store:
         b = self.managed(name)
         self.bindings[name] = Binding(table, "id", b.properties, b.links, native=False)
 
+    def updated(self, name: str, table: DataFrame) -> None:
+        """Replace a table by one whose columns look at those before more than once.
+
+        A condition that is pushed through such columns doubles with each of them, so every few updates the table is
+        written, and goes on from there.
+        """
+        self.updates[name] = self.updates.get(name, 0) + 1
+        if self.updates[name] >= UPDATES_BEFORE_WRITING:
+            path = f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}"
+            table.write.option("compression", "zstd").parquet(path)
+            table, self.updates[name] = self.spark.read.schema(table.schema).parquet(path), 0
+        self.replace_table(name, table)
+
     def add_links(self, name: str, link: str, rows: DataFrame) -> None:
         """Add rows (source, target) to a link table; a pair that is there already stays once."""
         b = self.managed(name)
@@ -178,13 +198,21 @@ class Store:
         links = {**b.links, link: LinkTable(held.table.unionByName(fresh, allowMissingColumns=True), "source", "target", held.props)}
         self.bindings[name] = Binding(b.table, "id", b.properties, links, native=False)
 
-    def with_id(self, id: str, target: str) -> str | None:
-        """The concrete type, assignable to ``target``, that has an object with this id."""
-        for name in self.catalog.concrete(qualified(target)):
-            frame = self.frame(name)
-            if not frame.where(self.is_id(name, F.col("_k"), id)).isEmpty():
-                return name
-        return None
+    def existing(self, ids: list[str], target: str) -> set[str]:
+        """Those of the ids that objects of a type or its sub types have: one look at each concrete type, by its keys."""
+        found: set[str] = set()
+        for name in self.catalog.concrete(qualified(target)) if ids else ():
+            hit = reduce(lambda a, b: a | b, [self.is_id(name, F.col("_k"), id) for id in dict.fromkeys(ids)])
+            found |= {r[0] for r in self.frame(name).where(hit).select("_id").distinct().collect()}
+        return found
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which only a local session may leave unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or "/tmp/checkpoints/weftline").rstrip("/")
 
 
 def new_id() -> str:

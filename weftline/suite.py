@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from weftline.operators.changes import Conflict
 from weftline.plans.catalog import ObjectType, Property, Rewrite, Trigger, new, old
 from weftline.plans.elements import All, As, Back, Call, Cast, Concat, IfType, Lit, Many, Member, Ref, Select, To, TypeName
 from weftline.sources.shop import graph
+from weftline.sources.store import shared_dir
 
 _SUITE: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {}
 
@@ -228,6 +230,17 @@ def backlink_list(g):
     return g.select("Nation", "name", As("parties", Back("nation"))).select("name", F.size("parties").cast("long").alias("n"))
 
 
+@suite("select n_name as name, (select count(*) from customer where c_nationkey = n_nationkey) + (select count(*) from supplier where s_nationkey = n_nationkey) as n from nation")
+def backlink_count(g):
+    return g.select("Nation", "name", As("n", Back("nation", count=True)))
+
+
+@suite("select n_name as name, (select coalesce(string_agg(id, ',' order by id), '') from (select 'Customer:' || c_custkey as id from customer where c_nationkey = n_nationkey order by id limit 3)) as some from nation")
+def backlink_limit(g):
+    found = g.select("Nation", "name", As("some", Back("nation", "Customer", limit=3)))
+    return found.select("name", _ids("some").alias("some"))
+
+
 @suite("select n_name as name, coalesce(string_agg('Supplier:' || s_suppkey, ',' order by 'Supplier:' || s_suppkey), '') as suppliers from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey, n_name")
 def backlink_typed(g):
     return g.select("Nation", "name", As("suppliers", Back("nation", "Supplier"))).select("name", _ids("suppliers").alias("suppliers"))
@@ -328,11 +341,11 @@ def math_unary(g):
     return found.select("id", "abs", "ceil", "floor", *[F.round(n, 6).alias(n) for n in names[3:]])
 
 
-@suite("select 'Part:' || p_partkey as id, round(ln(p_retailprice), 6) as ln, round(log10(p_retailprice), 6) as lg, round(ln(p_retailprice) / ln(2), 6) as log2, round(exp(p_size / 100.0), 6) as ex from part")
+@suite("select 'Part:' || p_partkey as id, round(ln(p_retailprice), 6) as ln, round(log10(p_retailprice), 6) as lg, round(ln(p_retailprice) / ln(2), 6) as log2, round(exp(p_size), 6) as ex from part where p_size <= 10")
 def math_log_family(g):
-    price = Ref("retailprice")
-    found = g.select("Part", "id", "size", As("ln", Call("math::ln", (price,))), As("lg", Call("math::lg", (price,))), As("log2", Call("math::log", (price, Lit(2)))))
-    return found.select("id", *[F.round(c, 6).alias(c) for c in ("ln", "lg", "log2")], F.round(F.exp(F.col("size") / 100.0), 6).alias("ex"))
+    price, small = Ref("retailprice"), field("size").one_of(*range(11))
+    found = g.select("Part", "id", "size", As("ln", Call("math::ln", (price,))), As("lg", Call("math::lg", (price,))), As("log2", Call("math::log", (price, Lit(2)))), As("ex", Call("math::exp", (Ref("size"),))), where=small)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("ln", "lg", "log2")], F.round("ex", 6).alias("ex"))
 
 
 @suite("select 3.0::double as mean, 2.0::double as sd, round(sqrt(8.0 / 3), 9) as sdp, 4.0::double as v, round(8.0 / 3, 9) as vp, null::double as none")
@@ -403,13 +416,25 @@ def user_function_set(g):
     return g.values(Call("exclaim", (Many(("Hello", "World")),)))
 
 
+@suite("select n_name as name, n_name || '!' as one, n_name || '?!' as two, '<' || n_name || '>' as three from nation")
+def user_function_defaults(g):
+    call = lambda *a, **named: Call("mark", (Ref("name"), *map(Lit, a)), {k: Lit(v) for k, v in named.items()})
+    return g.select("Nation", "name", As("one", call()), As("two", call("?!")), As("three", call(">", before="<")))
+
+
+@suite("select r_name as name, (select string_agg(n_name, ',' order by n_name) from nation where n_name like '%1%') as nations from region")
+def user_function_query(g):
+    found = g.select("Region", "name", As("nations", Call("nations_like", (Lit("%1%"),))))
+    return found.select("name", _ids("nations", "name").alias("nations"))
+
+
 # policies and changes
 
 
-@suite("select c_name as name from customer where c_mktsegment = 'AUTOMOBILE' order by c_name, 'Customer:' || c_custkey limit 25")
+@suite("select c_name as name from customer where c_mktsegment = 'AUTOMOBILE'")
 def policy_filtered_select(g):
     user = g.as_user(globals={"segment": "AUTOMOBILE"})
-    return user.select("Customer", "name", order_by="name", limit=25)
+    return user.select("Customer", "name", order_by="name")
 
 
 @suite("select n_name as name, n_regionkey as region from nation union all select 'ATLANTIS', 3")
@@ -424,12 +449,31 @@ def update_then_select(g):
     return g.select("Part", "id", "brand")
 
 
+@suite("select 'Part:' || p_partkey as id, case when p_size < 20 then 20 else p_size end::bigint as size from part")
+def updates_one_after_another(g):
+    for size in range(1, 20):
+        g.update("Part", {"size": size + 1}, field("size").eq(size))
+    return g.select("Part", "id", "size")
+
+
 @suite("select 'Supplier:' || s_suppkey as id from supplier where not (s_nationkey = 3 or s_name like '%7')")
 def delete_then_select(g):
     g.delete("Supplier", field("name").like("%7") | field("nation_id").eq("Nation:3"))
     return g.select("Supplier")
 
 
+@suite("select r_name as name, 1::bigint as n_updates from region where r_name != 'ASIA' union all select 'FAR EAST', 1 union all select 'ATLANTIS', 1")
+def reopened_folder(g):
+    """What one session has changed in a folder, as the next one reads it."""
+    folder = f"{shared_dir(g.spark)}/graph-{uuid.uuid4().hex}"
+    first = Graph(g.spark, g.catalog, "shop", folder=folder)
+    first.insert_rows("Region", g.select("Region", "name"))
+    first.insert("Region", {"name": "ATLANTIS"})
+    first.update("Region", {"name": "FAR EAST"}, field("name").eq("ASIA"))
+    again = Graph(g.spark, g.catalog, "shop", folder=folder)
+    return again.select("Region", "name").withColumn("n_updates", F.lit(again.version - 2).cast("long"))
+
+
 @suite("select r_regionkey, case when r_name = 'ASIA' then 'FAR EAST' else r_name end as name from region union all select null, 'ATLANTIS'")
 def conflict_upsert(g):
     g.insert("Region", {"name": "ASIA"}, Conflict("name", update={"name": "FAR EAST"}))
@@ -447,7 +491,7 @@ def for_union_insert(g):
 
 @suite("select r_name as name from region union all select n_name from nation where n_regionkey = 1")
 def bulk_insert_rows(g):
-    g.insert_rows("Region", g.spark.createDataFrame(g.select("Nation", "name", where=field("region_id").eq("Region:1")).collect(), "name string"))
+    g.insert_rows("Region", g.select("Nation", "name", where=field("region_id").eq("Region:1")))
     return g.select("Region", "name")
 
 
@@ -489,11 +533,13 @@ def rewrite_literal(g):
     return g.select("Part", "id", "size", "ptype")
 
 
-@suite("select unnest(['shop::Customer', 'shop::Party', 'shop::Part']) as name, unnest([4, 2, 5]) as members")
+@suite(
+    """select * from (values ('shop::Customer', 5, 2, 1), ('shop::Document', 5, 0, 0), ('shop::Event', 6, 0, 0), ('shop::Label', 3, 1, 0), ('shop::LineItem', 4, 3, 0),
+    ('shop::Log', 4, 0, 0), ('shop::Nation', 2, 1, 0), ('shop::Order', 5, 2, 0), ('shop::Part', 6, 0, 0), ('shop::Party', 3, 1, 1), ('shop::Region', 2, 1, 0), ('shop::Supplier', 3, 1, 1))
+    as t(name, n_properties, n_links, n_annotations)"""
+)
 def introspection_types(g):
-    found = g.object_types().where("name in ('shop::Customer', 'shop::Party', 'shop::Part')")
-    pick = F.filter("properties", lambda p: p["name"] != "")
-    return found.select("name", (F.size(pick) + F.when(F.col("name") == "shop::Customer", 1).otherwise(0)).alias("members"))
+    return g.object_types().select("name", F.size("properties").alias("n_properties"), F.size("links").alias("n_links"), F.size("annotations").alias("n_annotations"))
 
 
 @suite("select n_name as name, 0::bigint as population from nation")
