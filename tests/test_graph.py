@@ -7,8 +7,9 @@ from weftline.functions.predicates import field, linked_from, not_linked_from, t
 from weftline.graph import Graph, parameter
 from weftline.operators import migrate
 from weftline.operators.changes import Conflict, Insert, combinations
-from weftline.plans.catalog import Catalog, Computed, Link, ObjectType, Policy, Property, Rewrite, Trigger, UserFunction, new, old
+from weftline.plans.catalog import Catalog, Computed, Constraint, Link, ObjectType, Policy, Property, Rewrite, Trigger, UserFunction, new, old
 from weftline.plans.elements import All, As, Back, Call, Cast, Concat, IfType, Lit, Many, Member, Ref, Select, To, TypeName
+from weftline.streaming.changes import stream_inserts
 
 
 def movie_catalog():
@@ -256,7 +257,7 @@ def test_functions(spark):
     assert rows(g.values(Call("shout", (Lit("a"),)))) == [{"value": "a"}]
     g.free(n=Call("add_user", (Lit("ann"),)))
     assert rows(g.select("User", "name")) == [{"name": "ann"}]
-    with pytest.raises(GraphError, match="possibly more than one element"):
+    with pytest.raises(GraphError, match="possibly more than one element passed into modifying function"):
         g.free(n=Call("add_user", (Many(("a", "b")),)))
     with pytest.raises(GraphError, match="possibly an empty set"):
         g.free(n=Call("add_user", (Many(()),)))
@@ -337,12 +338,13 @@ def test_introspection(spark):
     catalog = Catalog.of(ObjectType("A", (Property("x", annotations={"title": "X"}),), annotations={"title": "t"}), ObjectType("B", (Link("l", "A", props=(Property("p"),)),), bases=("A",)))
     got = {r["name"]: r for r in rows(Graph(spark, catalog).object_types())}
     assert got["default::B"]["annotations"] == [{"name": "title", "value": "t"}] and got["default::B"]["links"][0]["properties"] == [{"name": "p", "type": "str"}]
-    assert got["default::A"]["properties"][0]["annotations"] == [{"name": "title", "value": "X"}]
+    own = {p["name"]: p for p in got["default::A"]["properties"]}
+    assert list(own) == ["id", "x"] and own["id"]["constraints"][0]["name"] == "std::exclusive"
+    assert own["x"]["annotations"] == [{"name": "title", "value": "X"}]
 
 
 def test_stream_inserts(spark, tmp_path):
-    from weftline.streaming.changes import stream_inserts
-
+    
     g = Graph(spark, behaviours())
     spark.createDataFrame([("ann",), ("bob",)], "name string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("name string").parquet(str(tmp_path / "in"))
@@ -366,3 +368,152 @@ def test_link_lowering_against_loops(spark, links, offset, limit):
     for p in range(5):
         mine = sorted((-(c % 3), f"C:{c}") for q, c in links if q == p)
         assert got[p] == [c for _, c in mine[offset : offset + limit]]
+
+
+def test_constraints_and_computeds_are_described(spark):
+    low = Constraint("std::min_value", {"title": "not below zero"})
+    catalog = Catalog.of(
+        ObjectType("A", (Property("n", "int", constraints=(low,)), Computed("loud", Concat((Ref("n"), Lit("!")))), Computed("of", Back("a", "B")))),
+        ObjectType("B", (Link("a", "A"), Computed("first", To("a", limit=1)))),
+    )
+    got = {r["name"]: r for r in rows(Graph(spark, catalog).object_types())}
+    props = {p["name"]: p for p in got["default::A"]["properties"]}
+    assert props["n"]["constraints"] == [{"name": "std::min_value", "annotations": [{"name": "title", "value": "not below zero"}]}]
+    assert props["loud"]["computed"] and props["loud"]["type"] is None and not props["n"]["computed"]
+    assert [(k["name"], k["target"], k["computed"]) for k in got["default::A"]["links"]] == [("of", "B", True)]
+    assert [(k["name"], k["target"], k["computed"]) for k in got["default::B"]["links"]] == [("a", "A", False), ("first", "A", True)]
+
+
+def test_many_updates_keep_one_scan(spark):
+    g = Graph(spark, movie_catalog())
+    g.insert("Villain", {"name": "a", "rank": 0})
+    scans = []
+    for k in range(20):
+        assert g.update("Villain", {"rank": k + 1}, field("rank").eq(k)).changes == 1
+        plan = g.select("Villain", "rank")._jdf.queryExecution().optimizedPlan().toString()
+        scans.append(plan.count("LogicalRDD") + plan.count("LocalRelation") + plan.count("Relation ["))
+    assert rows(g.select("Villain", "name", "rank")) == [{"name": "a", "rank": 20}] and set(scans) <= {1, 2}
+
+
+def test_update_sees_old_values(spark):
+    rewrite = Rewrite("note", ("update",), old("name"))
+    catalog = Catalog.of(
+        ObjectType("User", (Property("name"), Property("note")), rewrites=(rewrite,), triggers=(Trigger("t", "update", "Log", {"was": old("name"), "is": new("note")}, "name"),)),
+        ObjectType("Log", (Property("was"), Property("is"))),
+    )
+    g = Graph(spark, catalog)
+    for n in ("a", "b", None):
+        g.insert("User", {"name": n})
+    assert g.update("User", {"name": "z"}, field("name").eq("a")).changes == 1
+    assert sorted(rows(g.select("User", "name", "note")), key=str) == sorted([{"name": "z", "note": "a"}, {"name": "b", "note": None}, {"name": None, "note": None}], key=str)
+    assert rows(g.select("Log", "was", "is")) == [{"was": "a", "is": "a"}]
+
+
+def test_a_folder_outlives_its_session(spark, tmp_path):
+    folder = str(tmp_path / "graph")
+    g = Graph(spark, movie_catalog(), folder=folder)
+    green = g.insert("Villain", {"name": "Green Goblin", "rank": 1}).id
+    spider = g.insert("Hero", {"name": "Spider-Man", "villains": [green]}).id
+    g.insert("Villain", {"name": "Venom", "nemesis": spider})
+    after = g.catalog.with_types(ObjectType("Villain", (*g.catalog.type("Villain").members, Property("age", "int", required=True)), bases=("Person",)))
+    assert migrate.apply(g, after, "m1")
+    g.update("Villain", {"rank": 7}, field("name").eq("Green Goblin"))
+    again = Graph(spark, after, folder=folder)
+    assert rows(again.select("Hero", "name", To("villains", ("name", "rank", "age")))) == [{"name": "Spider-Man", "villains": [{"name": "Green Goblin", "rank": 7, "age": 0}]}]
+    assert rows(again.select("Villain", "name", To("nemesis", ("name",)), where=field("name").eq("Venom"))) == [{"name": "Venom", "nemesis": {"name": "Spider-Man"}}]
+    assert again.history == g.history and not migrate.apply(again, after, "m1")
+    again.delete("Villain", field("name").eq("Venom"))
+    with pytest.raises(Exception, match="[Ee]xist"):
+        g.insert("Hero", {"name": "too late"})
+    third = Graph(spark, after, folder=folder)
+    third.kept.vacuum()
+    assert sorted(r["name"] for r in rows(third.select("Person", "name"))) == ["Green Goblin", "Spider-Man"]
+
+
+def test_only_what_changes_is_written(spark, tmp_path):
+    g = Graph(spark, movie_catalog(), folder=str(tmp_path))
+    g.insert("Hero", {"name": "a"})
+    one = set((tmp_path / "tables").iterdir())
+    g.insert("Villain", {"name": "b"})
+    assert {t.name for t in one} < {t.name for t in (tmp_path / "tables").iterdir()}
+    assert g.kept.versions() == [1, 2] and len(set((tmp_path / "tables").iterdir())) - len(one) == 1
+
+
+def test_ids_of_sessions_differ(spark, tmp_path):
+    ids = set()
+    for user in (False, True):
+        g = Graph(spark, movie_catalog())
+        g = g.as_user(permissions=frozenset({"sys::perm::data_modification"})) if user else g
+        g.insert_rows("Hero", spark.createDataFrame([("a",), ("b",)], "name string"))
+        ids |= {r["id"] for r in rows(g.select("Hero"))}
+    assert len(ids) == 4
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    folder, source = str(tmp_path / "graph"), tmp_path / "in"
+    for n in (1, 2):
+        spark.createDataFrame([(f"hero {n}",)], "name string").write.parquet(str(source / f"part={n}"))
+        g = Graph(spark, movie_catalog(), folder=folder)
+        stream = spark.readStream.schema("name string").option("recursiveFileLookup", "true").parquet(str(source))
+        query = stream_inserts(g, "Hero", stream, str(tmp_path / "batches"), str(tmp_path / "checkpoint"))
+        query.processAllAvailable()
+        query.stop()
+    assert sorted(r["name"] for r in rows(Graph(spark, movie_catalog(), folder=folder).select("Hero", "name"))) == ["hero 1", "hero 2"]
+    assert list(g.batches.values()) == [1]
+
+
+def test_function_arguments(spark):
+    def shown(g, name, rank):
+        return Select("Villain", ("name",), where=field("name").eq(name) if rank is None else field("rank").eq(rank), order_by="name")
+
+    def add(g, name, alias):
+        g.insert("Hero", {"name": name, "secret_identity": alias})
+        return name
+
+    catalog = movie_catalog()
+    functions = (
+        UserFunction("shown", ("name", "rank"), shown, query=True, optional=("rank",)),
+        UserFunction("add", ("name", "alias"), add, modifying=True, optional=("alias",)),
+        UserFunction("join", ("a", "b", "sep"), lambda a, b, sep: Concat((a, sep, b)), named=("sep",), defaults={"b": Lit("?"), "sep": Lit("-")}),
+    )
+    g = Graph(spark, Catalog.of(*catalog.types.values(), enums=catalog.enums, functions=functions))
+    for k, n in enumerate("abb"):
+        g.insert("Villain", {"name": n, "rank": k})
+    one = lambda *a, **named: rows(g.free(v=Call("join", tuple(map(Lit, a)), {k: Lit(v) for k, v in named.items()})))[0]["v"]
+    assert (one("x"), one("x", "y"), one("x", sep="+"), one("x", "y", sep="")) == ("x-?", "x-y", "x+?", "xy")
+    for wrong in (lambda: one(), lambda: one("x", "y", "z"), lambda: one("x", a="y"), lambda: one("x", other="y")):
+        with pytest.raises(GraphError, match="does not exist|no such parameters"):
+            wrong()
+    assert rows(g.free(v=Call("shown", (Lit("b"),))))[0]["v"] == [{"name": "b"}, {"name": "b"}]
+    assert rows(g.free(v=Call("shown", (Lit("b"), Lit(0)))))[0]["v"] == [{"name": "a"}]
+    g.free(v=Call("add", (Lit("h"), Many(()))))
+    assert rows(g.select("Hero", "name", "secret_identity")) == [{"name": "h", "secret_identity": None}]
+    with pytest.raises(GraphError, match="possibly an empty set passed as non-optional argument into modifying function"):
+        g.free(v=Call("add", (Many(()),)))
+
+
+def test_subqueries_are_bounded(movies, monkeypatch):
+    movies, _ = movies
+    from weftline.plans import shape
+
+    monkeypatch.setattr(shape, "MOST_GATHERED", 2)
+    with pytest.raises(Exception, match="give it a limit"):
+        movies.free(all=Select("Person", ("name",))).collect()
+    assert len(rows(movies.free(all=Select("Person", ("name",), order_by="name", limit=2)))[0]["all"]) == 2
+
+
+def test_counts_and_limits_of_backlinks(movies):
+    movies, _ = movies
+    got = {r["name"]: r for r in rows(movies.select("Person", "name", As("n", Back("characters", count=True)), As("some", Back("villains", "Hero", limit=1))))}
+    listed = {r["name"]: r["all"] for r in rows(movies.select("Person", "name", As("all", Back("characters"))))}
+    assert {k: r["n"] for k, r in got.items()} == {k: len(v) for k, v in listed.items()} and any(listed.values())
+    assert all(len(r["some"]) <= 1 for r in got.values()) and got["Green Goblin"]["some"] and not got["Iron Man"]["some"]
+
+
+def test_link_values_of_a_query_are_checked(movies):
+    movies, _ = movies
+    with pytest.raises(GraphError, match="does not reference an existing object"):
+        movies.insert("Hero", {"name": "x", "villains": [Select("Villain"), "nobody"]})
+    movies.insert("Hero", {"name": "x", "villains": [Select("Villain"), Select("Villain")]})
+    found = rows(movies.select("Hero", To("villains", ("name",)), where=field("name").eq("x")))[0]["villains"]
+    assert sorted(v["name"] for v in found) == ["Doc Ock", "Green Goblin", "Venom"]

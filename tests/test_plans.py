@@ -32,7 +32,7 @@ def test_a_condition_on_the_type_removes_the_other_scans(spark):
     assert "supplier.parquet" in text and "customer.parquet" not in text and "Union" not in text
 
 
-@pytest.mark.parametrize("name", ["order_limit_topk", "policy_filtered_select"])
+@pytest.mark.parametrize("name", ["order_limit_topk"])
 def test_topk(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
