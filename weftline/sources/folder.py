@@ -17,6 +17,13 @@ from pyspark.sql import types as T
 from weftline.sources.store import Binding, LinkTable, Store
 
 
+def rename_once(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file or folder, which fails if the target is there: of writers of one version, one succeeds."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    path, none = hadoop.Path(source), spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    hadoop.FileContext.getFileContext(path.toUri(), conf).rename(path, hadoop.Path(target), none)
+
+
 class Folder:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -69,9 +76,7 @@ class Folder:
         said = json.dumps({"version": version, "history": history, "batches": batches, "types": types})
         draft = f"versions/draft-{uuid.uuid4().hex}"
         self.spark.createDataFrame([(said,)], "value string").coalesce(1).write.text(f"{self.root}/{draft}")
-        source, target = self._path(draft), self._path(f"versions/v{self._at + 1}")
-        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        self._hadoop.FileContext.getFileContext(source.toUri(), self._conf).rename(source, target, none)
+        rename_once(self.spark, f"{self.root}/{draft}", f"{self.root}/versions/v{self._at + 1}")
         self._at += 1
         return self._at
 
