@@ -86,7 +86,8 @@ def share_budget(leaves: DataFrame, weights: Mapping, budget_percent: int, max_e
     plan = leaves.withColumns({f"w_{level}": _weight(weights, level) for level in LEVELS})
     open_path = F.least(*[F.col(f"w_{level}") for level in LEVELS]) > 0
     plan = plan.withColumn("cap", F.when(open_path, F.col("tokens") * max_epochs).otherwise(0))
-    plan = plan.withColumn("share", F.expr(f"(sum(tokens) over ()) * {budget_percent} div 100"))
+    total = leaves.agg(F.sum("tokens").alias("total"))  # one row
+    plan = plan.crossJoin(F.broadcast(total)).withColumn("share", F.expr(f"total * {budget_percent} div 100")).drop("total")
     for depth, level in enumerate(LEVELS):
         parent, path = LEVELS[:depth], LEVELS[: depth + 1]
         child = plan.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first("share").alias("budget"), F.first(f"w_{level}").alias("w"))
