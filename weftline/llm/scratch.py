@@ -7,16 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only by a local session that names no checkpoint folder, as in tests.
-LOCAL_DIR = "/tmp/checkpoints/weftline"
+from weftline.sources.store import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, which only a local session may leave unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (folder or LOCAL_DIR).rstrip("/")
+#: Spark's setting by which the shuffle files of a query go as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -27,9 +21,16 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return the written table, whose rows no longer depend on how they were made."""
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Write ``df`` once and return the written table, whose rows no longer depend on how they were made.
+
+        Nothing reads the shuffles of the write again, so their files are removed with its end.
+        """
+        path, before = f"{self.root}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

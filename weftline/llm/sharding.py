@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.scratch import shared_dir, spare_prefix
+from weftline.sources.folder import rename_once
 
 #: Bytes of a file that compaction aims at, runs of one tier that start a merge, and the size ratio of tiers.
 TARGET_BYTES = 64 << 20
@@ -64,9 +65,7 @@ class ShardStore:
         draft = f"manifests/draft-{uuid.uuid4().hex}"
         body = shards.select("shard_id", "path", "rows", "bytes", F.lit(None).cast("string").alias("schema"))
         head.unionByName(body).coalesce(1).write.parquet(f"{self.root}/{draft}")
-        source, target = self._path(draft), self._path(f"manifests/v{base + 1}")
-        none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        self._hadoop.FileContext.getFileContext(source.toUri(), self._conf).rename(source, target, none)
+        rename_once(self.spark, f"{self.root}/{draft}", f"{self.root}/manifests/v{base + 1}")
         return base + 1
 
     def append(self, arrivals: DataFrame) -> int:
