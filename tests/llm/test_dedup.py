@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from weftline.llm import bitfilter, components, exact_dedup, line_dedup, near_copies, simhash_dedup
+from weftline.llm import bitfilter, components, exact_dedup, line_dedup, near_copies, shingles, simhash_dedup
 from weftline.llm.scratch import Scratch
 
 
@@ -56,7 +56,7 @@ def brute_simhash(text):
 
 def test_simhash_in_parts(monkeypatch, odd_rows):
     for size in (1, 3, 1000):
-        monkeypatch.setattr(simhash_dedup, "_SHINGLES_AT_ONCE", size)
+        monkeypatch.setattr(shingles, "_AT_ONCE", size)
         assert all(simhash_dedup.simhash(r[1]) == brute_simhash(r[1]) for r in odd_rows if len(r[1] or "") < 10_000)
 
 
@@ -88,11 +88,8 @@ def test_near_components_against_brute_force(odd_docs, odd_rows):
         assert Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in got) == expected
 
 
-def test_one_of_each(odd_docs, odd_rows, no_docs):
-    got = simhash_dedup.one_of_each(odd_docs)
-    assert got.columns == odd_docs.columns
-    assert got.count() == len(set(brute_components([brute_simhash(r[1]) for r in odd_rows])))
-    assert simhash_dedup.one_of_each(no_docs).collect() == [] and simhash_dedup.near_components(no_docs).collect() == []
+def test_no_components_without_rows(no_docs):
+    assert simhash_dedup.near_components(no_docs).collect() == []
 
 
 @settings(max_examples=40, deadline=None)
@@ -149,7 +146,7 @@ def test_line_dedup_against_brute_force(spark):
     import random
 
     rng = random.Random(3)
-    base = ["".join(rng.choice("abcde é") for _ in range(n)).strip() + "x" for n in (8, 30, 65, 129, 300)]
+    base = ["".join(rng.choice("abcde é") for _ in range(n)).strip() + "x" for n in (0, 1, 2, 4, 8, 15, 17, 30, 65, 129, 300)]
     rows = []
     for d in range(25):
         lines = []
@@ -160,14 +157,20 @@ def test_line_dedup_against_brute_force(spark):
                 line = line[:i] + rng.choice(["", "z", "z" + line[i : i + 1]]) + line[i + 1 :]
             lines.append(rng.choice(["", " "]) + line)
         rows.append((d, "\n".join(lines + ["", "  "][: rng.randint(0, 2)])))
-    rows += [(None, base[1]), (98, None), (99, "")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), near_chars=20).collect()
-    assert Counter(map(tuple, got)) == Counter(brute_lines(rows, 20))
+    rows += [(None, base[6]), (98, None), (99, ""), (100, "q"), (101, "qq"), (102, "ab\nba\nabc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 20):
+        got = line_dedup.dedup_lines(docs, near_chars=least).collect()
+        assert Counter(map(tuple, got)) == Counter(brute_lines(rows, least))
 
 
 def test_line_dedup_odd_rows(odd_docs, odd_rows, no_docs):
     got = line_dedup.dedup_lines(odd_docs)
-    assert got.columns == [*odd_docs.columns, "n_lines", "n_exact", "n_near"] and got.count() == len(odd_rows)
+    assert got.columns == [*odd_docs.columns, "n_lines", "n_exact", "n_near"]
+    some = [(r[0], r[1]) for r in odd_rows]
+    first = min((null_first(d), r) for d, r in some if r == odd_rows[0][1])
+    kept = Counter(r.text for r in got.collect())
+    assert sum(kept.values()) == len(odd_rows) and kept[first[1]] == sum(r == first[1] and null_first(d) == first[0] for d, r in some)
     assert line_dedup.dedup_lines(no_docs).collect() == []
 
 
@@ -222,13 +225,35 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert len(set(map(normal, texts))) - 20 > len(expected)
     for common in (3, 10_000):
         monkeypatch.setattr(near_copies, "COMMON", common)
-        assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == expected
+        assert {r.doc_id for r in simhash_dedup.one_of_each(docs).collect()} == expected
 
 
 def test_near_copies_odd_rows(odd_docs, odd_rows, no_docs):
-    got = near_copies.one_of_each(odd_docs)
+    got = simhash_dedup.one_of_each(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == len(brute_near([r[1] for r in odd_rows]))
-    assert near_copies.one_of_each(no_docs).collect() == []
+    assert simhash_dedup.one_of_each(no_docs).collect() == []
+
+
+def test_rough_comparison_only_overrates():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 50)) * (1 << 29) + rng.integers(0, 2)) for _ in range(2))
+        both = np.intersect1d(a, b).size
+        assert near_copies.in_common(a, b) == both
+        assert near_copies.in_common(np.sort(a.astype(np.int16)), np.sort(b.astype(np.int16))) >= both
+
+
+def test_the_trie_proposes_close_pairs(spark):
+    from pyspark.sql import functions as F
+
+    prints = [(1, 0), (2, 0), (3, 7), (4, 5), (5, 1 << 40), (6, 255)]
+    rows = spark.createDataFrame(prints, "row long, fp long").withColumn("fp", F.col("fp"))
+    pairs = simhash_dedup.fingerprint_pairs(Scratch(spark, "test"), rows, 8, 2).distinct().collect()
+    root = {k: k for k, _ in prints}
+    for p in pairs:
+        x, y = root[p.a], root[p.b]
+        root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    assert root == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
 
 
 def test_pipeline_drops_near_copies(spark):

@@ -1,9 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: every pair at the threshold or above is found.
+"""The pairs of near copies that fingerprints can't tell: a part of SimHash near-dedup.
 
-A 64-bit SimHash can't decide this: at similarity 0.8 fingerprints differ in about ten bits, give or take three, and a
-trie with an error budget as wide as that drops no pairs. Texts are joined by the prefixes of their shingle sets
-instead. All sets are put in one order, the shingles that many texts hold last; two sets with enough in common share
-one of their first shingles. Pairs that are long enough to be near are then compared by their whole sets.
+Near are texts whose shingle sets have at least a given Jaccard similarity. Two such sets share one of their first
+shingles, when all sets are put in one order, the shingles that many texts hold last. Pairs that are long enough to be
+near are compared by 16 bits of each hash, which can only make them look nearer, and those that then still may be near
+by their whole sets.
 """
 
 from __future__ import annotations
@@ -12,61 +12,44 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bitfilter import bit_table, maybe_in
 from weftline.llm.components import star_labels
-from weftline.llm.scratch import Scratch, small_batches, spare_prefix
+from weftline.llm.scratch import Scratch
+from weftline.llm.shingles import shingle_hashes, shingle_set
 
-SHINGLE_WORDS = 5
-#: Least similarity of near copies, as a fraction: 4/5.
-NEAR = (4, 5)
-SEED = 42
 #: Texts in the sample that tells which shingles are common, about. It only orders shingles: no result depends on it.
 SAMPLE = 8_000
 #: A shingle in so many texts of the sample is common; so many of the commonest are told apart.
 COMMON, MOST_COMMON = 4, 1 << 17
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a text of fewer words is one shingle, one without words none."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    k = min(SHINGLE_WORDS, len(words))
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)[: len(words) - k + 1].tolist()
-    places = zip(starts, ends[k - 1 :].tolist(), strict=True)
-    hashed = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in places), np.uint64, len(starts))
-    return np.unique(hashed.view(np.int64))
-
-
-def prefix_length(n):
+def prefix_length(n: int, similarity: tuple[int, int]) -> int:
     """So many first shingles of a set of ``n`` hold one that any near set shares."""
-    return n - (n * NEAR[0] + NEAR[1] - 1) // NEAR[1] + 1
+    part, whole = similarity
+    return n - (n * part + whole - 1) // whole + 1
 
 
-def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for t in batch.column(0):
-            yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()))], names=["h"])
+def common_shingles(texts: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are common in a sample of the rows (row, text), and in how many of its texts each is."""
+    every = max(1, texts.count() // SAMPLE)
 
+    def sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(shingle_hashes(t.as_py(), shingle_words)))], names=["h"])
 
-def common_shingles(rows: DataFrame, row: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that are common in a sample of the texts, and in how many of its texts each is."""
-    every = max(1, rows.count() // SAMPLE)
-    picked = rows.where(F.pmod(F.xxhash64(row), F.lit(every)) == 0).select(text).mapInArrow(_sampled, "h long")
+    picked = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(sampled, "h long")
     counted = picked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
     found = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def first_shingles(of: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def first_shingles(of: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
     """The prefix of a set in the order of all sets: by how common a shingle is, then by hash."""
-    size = prefix_length(of.size) if of.size else 0
+    size = prefix_length(of.size, similarity) if of.size else 0
     hashes, counts = common
     if hashes.size:
         at = np.minimum(np.searchsorted(hashes, of), hashes.size - 1)
@@ -74,64 +57,19 @@ def first_shingles(of: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.
     return of[:size]
 
 
-def near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity of two sets reaches the threshold."""
-    if not a.size or not b.size:
-        return a.size == b.size
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return both * NEAR[1] >= NEAR[0] * (a.size + b.size - both)
-
-
-def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, known = None, None
-    for batch in batches:
-        a, b, a_text, b_text = batch.columns
-        keep = []
-        for i, u in enumerate(a.to_pylist()):
-            if u != last:
-                last, known = u, shingles(a_text[i].as_py())
-            keep.append(near(known, shingles(b_text[i].as_py())))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["u", "v"])
-
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two arrays share, at most: exact for sets, an upper bound where elements repeat."""
+    small, large = (a, b) if a.size < b.size else (b, a)
+    if not small.size:
+        return 0
+    at = np.minimum(np.searchsorted(large, small), large.size - 1)
+    return int((large[at] == small).sum())
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component of near pairs the smallest id's row stays, as it is.
 
-    Rows with equal shingle sets, as texts without words, are copies. Of rows that share an id one stays. A null id is
-    smaller than any other. Columns may have any names.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark, "near_copies")
-    row = spare_prefix(docs.columns) + "row"
-    rows = scratch.put(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    texts = rows.select(F.col(row).alias("row"), F.col(text_col).alias("text"))
-    common = common_shingles(texts, "row", "text")
-
-    def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            firsts = [first_shingles(s, common) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
-                    pa.array([s.size for s in sets], pa.int32()),
-                    pa.array(firsts, pa.list_(pa.int64())),
-                ],
-                names=["row", "digest", "n", "firsts"],
-            )
-
-    made = scratch.put(texts.mapInArrow(prints, "row long, digest binary, n int, firsts array<long>"), "prints")
-    ids = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"))
-    least = made.select("row", "digest").join(ids.hint("merge"), "row").groupBy("digest").agg(F.min(F.struct("id", "row")).alias("least"))
-    distinct = scratch.put(least.select(F.col("least.row").alias("row"), F.col("least.id").alias("id")), "distinct")
-    links = near_links(scratch, only(scratch, made, "row", distinct.select("row"), "copies"), texts)
-    roots = distinct.join(star_labels(links, scratch).withColumnRenamed("node", "row").hint("merge"), "row", "left")
-    stay = roots.groupBy(F.coalesce("root", "row").alias("root")).agg(F.min(F.struct("id", "row")).alias("least"))
-    stay = scratch.put(stay.select(F.col("least.row").alias(row)), "stay")
-    return only(scratch, rows, row, stay, "gone").drop(row)
+def may_be_near(n: int, m: int, both: int, similarity: tuple[int, int]) -> bool:
+    """Whether sets of ``n`` and ``m`` elements that share ``both`` reach the similarity; empty sets are near each other."""
+    part, whole = similarity
+    return both * whole >= part * (n + m - both) if n and m else n == m
 
 
 def only(scratch: Scratch, rows: DataFrame, row: str, stay: DataFrame, name: str) -> DataFrame:
@@ -141,42 +79,97 @@ def only(scratch: Scratch, rows: DataFrame, row: str, stay: DataFrame, name: str
     return cleared.unionByName(maybe_in(rows, F.xxhash64(row), bits).join(stay.hint("merge"), row, "left_semi"))
 
 
-def near_links(scratch: Scratch, prints: DataFrame, texts: DataFrame) -> DataFrame:
+def near_links(scratch: Scratch, prints: DataFrame, texts: DataFrame, close: DataFrame, shingle_words: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (u, v) between the rows of ``prints``: enough of them to connect all near ones.
 
-    Texts that share a first shingle are first compared with the one before and the smallest one, by size. That joins
-    most of a large group with few pairs; then every pair that isn't yet connected is compared.
+    The pairs in ``close``, which fingerprints propose, are compared first, with those of texts that share a first
+    shingle with the one before and the smallest one, by size. That joins most of a large group with few pairs; then
+    every pair that isn't yet connected is compared.
     """
+    part, whole = similarity
     met = Window.partitionBy("h")
     entries = prints.select("row", "n", F.posexplode("firsts").alias("pos", "h"))
     entries = entries.withColumn("texts", F.count("*").over(met)).where("texts > 1").drop("texts")
     entries = scratch.put(entries, "entries")
-    fits = f"least(n, m) * {NEAR[1]} >= greatest(n, m) * {NEAR[0]}"
+    fits = f"least(n, m) * {whole} >= greatest(n, m) * {part}"
+    overlap = f"least(n - pos, m - at) * {part + whole} >= (n + m) * {part}"
     order = met.orderBy("n", "row")
-    nearby = [F.struct(f("row").over(order).alias("other"), f("n").over(order).alias("m")) for f in (F.lag, F.first)]
-    few = entries.select("row", "n", F.array(*nearby).alias("nearby")).select("row", "n", F.explode("nearby").alias("o"))
-    few = few.select("row", "n", "o.other", "o.m").where(f"other != row and {fits}")
-    links = compared(scratch, few.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b")), texts, "few")
+    nearby = [F.struct(*[f(c).over(order).alias(to) for c, to in (("row", "other"), ("n", "m"), ("pos", "at"))]) for f in (F.lag, F.first)]
+    few = entries.select("row", "n", "pos", F.array(*nearby).alias("nearby")).select("row", "n", "pos", F.explode("nearby").alias("o"))
+    few = few.select("row", "n", "pos", "o.other", "o.m", "o.at").where(f"other != row and {fits} and {overlap}")
+    few = few.select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b")).unionByName(close)
+    sets = short_sets(scratch, entries.select("row").unionByName(close.select(F.explode(F.array("a", "b")).alias("row"))), texts, shingle_words)
+    links = compared(scratch, few, sets, texts, "few", shingle_words, similarity)
     root = scratch.put(star_labels(links, Scratch(scratch.spark, "near_few")), "roots")
     placed = entries.join(root.withColumnRenamed("node", "row").hint("merge"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     placed = scratch.put(placed, "placed")
     mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
     placed = scratch.put(placed.join(mixed.hint("merge"), "h", "left_semi"), "mixed")
     other = placed.select("h", F.col("row").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("top"))
-    overlap = f"least(n - pos, m - at) * {sum(NEAR)} >= (n + m) * {NEAR[0]}"
     pairs = placed.join(other.hint("merge"), "h").where(f"row > other and root != top and {fits} and {overlap}")
-    rest = compared(scratch, pairs.select(F.col("row").alias("a"), F.col("other").alias("b")), texts, "rest")
-    scratch.drop("entries", "placed", "mixed")
+    pairs = pairs.select(F.col("row").alias("a"), F.col("other").alias("b"))
+    rest = compared(scratch, pairs, sets, texts, "rest", shingle_words, similarity, links)
+    scratch.drop("entries", "placed", "mixed", "sets")
     return links.unionByName(rest)
 
 
-def compared(scratch: Scratch, pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose texts are near, as links (u, v)."""
-    pairs = scratch.put(pairs.distinct(), f"{name}_pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("row"))
-    texts = maybe_in(texts, F.xxhash64("row"), bit_table(scratch, met, F.xxhash64("row"), f"{name}_bits"))
-    side = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"{c}_text")).hint("merge")
-    whole = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_text", "b_text")
-    links = scratch.put(whole.mapInArrow(_compare, "u long, v long"), f"{name}_links")
+def only_rows(scratch: Scratch, texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The texts whose row may be among those of ``wanted``, without a shuffle."""
+    return maybe_in(texts, F.xxhash64("row"), bit_table(scratch, wanted, F.xxhash64("row"), name))
+
+
+def short_sets(scratch: Scratch, wanted: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
+    """Rows (row, set): 16 bits of each hash of the set of a text that may meet others."""
+
+    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.sort(shingle_set(shingle_hashes(t.as_py(), shingle_words)).astype(np.int16)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int16()))], names=["row", "set"])
+
+    return scratch.put(only_rows(scratch, texts, wanted, "met_bits").mapInArrow(short, "row long, set array<short>"), "sets")
+
+
+def compared(
+    scratch: Scratch, pairs: DataFrame, sets: DataFrame, texts: DataFrame, name: str, shingle_words: int, similarity: tuple[int, int], known: DataFrame | None = None
+) -> DataFrame:
+    """The pairs (a, b) whose texts are near, as links (u, v); those among ``known`` links are not looked at again."""
+    pairs = pairs.distinct()
+    if known is not None:
+        pairs = pairs.join(known.toDF("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    pairs = scratch.put(pairs, f"{name}_pairs")
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            a, b, a_text, b_text = batch.columns
+            keep = []
+            for i, u in enumerate(a.to_pylist()):
+                if u != last:
+                    last, held = u, shingle_set(shingle_hashes(a_text[i].as_py(), shingle_words))
+                other = shingle_set(shingle_hashes(b_text[i].as_py(), shingle_words))
+                keep.append(may_be_near(held.size, other.size, in_common(held, other), similarity))
+            yield _kept(a, b, keep)
+
+    def roughly(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, a_set, b_set = batch.columns
+            sets = zip(*[[s.values.to_numpy() for s in c] for c in (a_set, b_set)], strict=True)
+            yield _kept(a, b, [may_be_near(x.size, y.size, in_common(x, y), similarity) for x, y in sets])
+
+    maybe = scratch.put(both_sides(pairs, sets).mapInArrow(roughly, "u long, v long"), f"{name}_maybe").toDF("a", "b")
     scratch.drop(f"{name}_pairs")
+    asked = only_rows(scratch, texts, maybe.select(F.explode(F.array("a", "b")).alias("row")), f"{name}_bits")
+    links = scratch.put(both_sides(maybe, asked).mapInArrow(whole, "u long, v long"), f"{name}_links")
+    scratch.drop(f"{name}_maybe")
     return links
+
+
+def both_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) with what ``rows`` (row, value) has for either; the pairs of one ``a`` follow each other."""
+    side = lambda c: rows.toDF(c, f"{c}_value").hint("merge")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_value", "b_value")
+
+
+def _kept(a: pa.Array, b: pa.Array, keep: list[bool]) -> pa.RecordBatch:
+    mask = pa.array(keep, pa.bool_())
+    return pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["u", "v"])
