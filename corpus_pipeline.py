@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, language_id, mixing, near_copies, sharding
+from weftline.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
 from weftline.llm.scratch import Scratch
 
-#: Documents whose language is less likely than this are rejected, as are those without letters.
+#: Documents whose language is less likely than this are rejected, as are those without letters or in other languages.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
@@ -17,7 +17,7 @@ def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs)
+    return simhash_dedup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
